@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, mixing, secrets, simhash
+from . import chat, decontam, exact_dedup, licenses, lm_score, mixing, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,9 +10,12 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_mixing": mixing.op6_mixing,
         "op8_chat_format": chat.op8_chat_format,
         "op9_decontaminate": decontam.op9_decontaminate,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
