@@ -104,3 +104,13 @@ r AS (
 x AS (SELECT *, CAST(floor(n * rate + u) - floor((n - 1) * rate + u) AS BIGINT) AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM x
 """
+
+
+def emit(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it, numbered by ``copy_no`` from 1.
+
+    Rows that repeat a doc_id are each emitted as often as the one of them that is taken least.
+    """
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__ls_doc")).agg(F.min("copies").alias("__ls_copies")).where("__ls_copies > 0")
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__ls_doc")))
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__ls_copies").cast("int")))).select(*[c for c in docs.columns if c != "copy_no"], "copy_no")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, licenses, lm_score, mixing, secrets, simhash, toxicity
+from . import chat, decontam, exact_dedup, licenses, lm_score, mixing, secrets, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_lm_score": lm_score.op5_lm_score,
         "op6_mixing": mixing.op6_mixing,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_chat_format": chat.op8_chat_format,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_license_scan": licenses.op10_license_scan,

@@ -20,13 +20,14 @@ _WORDS = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Params:
-    buckets: int = 1 << 16  # rows of the embedding table: words and their character n-grams hash to them
-    dim: int = 8
-    n_grams: tuple[int, ...] = (3, 4, 5)
-    rows: int = 3000  # labelled documents of each class that training reads at most
+    buckets: int = 1 << 18  # rows of the embedding table: words and their character n-grams hash to them
+    dim: int = 4
+    n_grams: tuple[int, ...] = (3, 4, 5, 6)
+    least: int = 10  # training documents that a bucket needs to have a vector
+    rows: int = 2000  # labelled documents of each class that training reads at most
     longest: int = 50_000  # characters of a training document at most; scoring reads all
-    epochs: int = 12
-    rate: float = 0.3
+    epochs: int = 10
+    rate: float = 40.0  # falls to nothing; a bucket's step is its share of the document times this
     seed: int = 7
     cache: int = 200_000  # words whose sums a task remembers
 
@@ -49,32 +50,33 @@ def bag(text: str, p: Params) -> Counter:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax weights, learnt together by Adagrad over the documents' mean vectors.
+    """Embeddings and softmax weights, learnt together by gradient steps over the documents' mean vectors.
 
     Returns what a score needs of them: for each bucket the difference of its two logits, and that of the biases.
     """
     rng = np.random.default_rng(p.seed)
-    table = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))
-    weights, bias = np.zeros((p.dim, 2)), np.zeros(2)
-    seen_t, seen_w, seen_b = np.full(p.buckets, 1e-8), np.full((p.dim, 2), 1e-8), np.full(2, 1e-8)
+    used = np.zeros(p.buckets, np.int32)
+    for ids, _ in bags:
+        used[ids] += 1
+    known = used >= min(p.least, max(1, len(bags) // 50))
+    bags = [(ids[known[ids]], share[known[ids]].astype(np.float32)) for ids, share in bags]
+    table = np.where(known[:, None], rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)), 0).astype(np.float32)
+    weights, bias = rng.uniform(-0.5, 0.5, (p.dim, 2)).astype(np.float32), np.zeros(2)
     for epoch in range(p.epochs):
-        rate = p.rate * (1 - epoch / p.epochs)
+        rate = np.float32(p.rate * (1 - epoch / p.epochs))
         for i in rng.permutation(len(bags)).tolist():
             ids, share = bags[i]
-            mean = share @ table[ids]
+            rows = table[ids]
+            mean = share @ rows
             z = mean @ weights + bias
             z = np.exp(z - z.max())
             grad = z / z.sum()
             grad[labels[i]] -= 1
-            back = np.outer(share, weights @ grad)
-            gw = np.outer(mean, grad)
-            seen_t[ids] += (back * back).mean(axis=1)
-            seen_w += gw * gw
-            seen_b += grad * grad
-            table[ids] -= rate * back / np.sqrt(seen_t[ids])[:, None]
-            weights -= rate * gw / np.sqrt(seen_w)
-            bias -= rate * grad / np.sqrt(seen_b)
-    return table @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0])
+            back = (weights @ grad).astype(np.float32)
+            table[ids] = rows - rate * share[:, None] * back
+            weights -= rate * np.float32(0.1) * np.outer(mean, grad).astype(np.float32)
+            bias -= 0.01 * rate * grad
+    return (table @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
 def _bags(p: Params):
