@@ -20,7 +20,7 @@ _WINDOW = LENGTH - _GRAM + 1  # anchors that fit into such a string
 _LEFT, _RIGHT = LENGTH - _GRAM, LENGTH  # bytes before and after an anchor's start that such strings reach
 _PIECE = 1 << 20  # places looked at together
 SHARD_BYTES = 1 << 20  # bytes whose suffixes are sorted together
-HOT = 1 << 11  # contexts of one anchor from which its strings are compared by hash
+HOT = SHARD_BYTES // (_LEFT + _RIGHT)  # contexts of one anchor that still fit into a shard; the strings of more are compared by hash
 _HOT_BITS = 22
 NULL_ID = -(1 << 63)
 
@@ -62,11 +62,18 @@ class Piece:
         at = at[np.append(True, at[1:] != at[:-1])]
         self.g, self.pos = grams[at].view(np.int64), at + a
         self.start, self.end = np.maximum(self.pos - _LEFT, 0), np.minimum(self.pos + _RIGHT, self.n)
+        self.c = self._contexts()
+        # Contexts that this text has had before (runs of one phrase) need no shuffle to be known as repeated.
+        order = np.lexsort((self.pos, self.c, self.g))
+        g, c = self.g[order], self.c[order]
+        again = np.append(False, (g[1:] == g[:-1]) & (c[1:] == c[:-1]))
+        self.again = np.sort(order[again])
+        self.first = np.sort(order[~again])
 
     def hashes(self, at: np.ndarray, size) -> np.ndarray:
         return mix((self.sums[at + size] - self.sums[at]) * self.down[at])
 
-    def contexts(self) -> np.ndarray:
+    def _contexts(self) -> np.ndarray:
         sizes = self.end - self.start
         h = self.hashes(self.start - self.base, sizes)
         return mix(h + ((self.pos - self.start) * 256 + sizes).astype(np.uint64) * _M[1]).view(np.int64)
@@ -98,8 +105,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for doc, tie, text in _texts(batches):
         for p in _pieces(text):
-            m = len(p.pos)
-            held.append((p.g, p.contexts(), np.full(m, doc, np.int64), np.full(m, tie, np.int32), p.pos.astype(np.int32)))
+            m = len(p.first)
+            held.append((p.g[p.first], p.c[p.first], np.full(m, doc, np.int64), np.full(m, tie, np.int32), p.pos[p.first].astype(np.int32)))
             n += m
             if n > 50_000:
                 yield _batch(_ANCHOR, [np.concatenate(x) for x in zip(*held, strict=True)])
@@ -142,28 +149,51 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [x[end] for x in cols], int(number[-1])
 
 
-_CONTEXT = "g long, h long, doc long, tie int, start int, bytes binary"
+_CONTEXT = "g long, h long, doc long, tie int, start int, end int, bytes binary"
+
+
+def _spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Sorted spans with those that touch made one."""
+    if not len(starts):
+        return []
+    head = np.append(True, starts[1:] > np.maximum.accumulate(ends)[:-1])
+    return list(zip(starts[head].tolist(), np.maximum.reduceat(ends, np.flatnonzero(head)).tolist(), strict=True))
 
 
 def _contexts(wanted, hot):
-    """Contexts to compare byte by byte, and of hot anchors the hashes of their strings instead (bytes null)."""
+    """Contexts to compare byte by byte; of hot anchors the hashes of their strings instead (bytes null); and the spans that
+    a text itself has had before (g null)."""
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
+
+        def add(*columns) -> None:
+            for o, v in zip(out, columns, strict=True):
+                o.extend(v)
+
         for doc, tie, text in _texts(batches):
             for p in _pieces(text):
-                m = len(p.pos)
-                take = has_bit(wanted.value, _row_hash(p.g, np.full(m, doc, np.int64), np.full(m, tie, np.int32), p.pos.astype(np.int32)))
-                for j in np.flatnonzero(take & ~has_bit(hot.value, p.g)).tolist():
-                    a = int(p.start[j])
-                    for o, v in zip(out, (int(p.g[j]), None, doc, tie, a, text[a : int(p.end[j])].tobytes()), strict=True):
-                        o.append(v)
-                for j in np.flatnonzero(take & has_bit(hot.value, p.g)).tolist():
-                    at = np.arange(p.start[j], p.end[j] - LENGTH + 1)
+                own = _spans_of(p.start[p.again], p.end[p.again])
+                g, m = p.g[p.first], len(p.first)
+                take = has_bit(wanted.value, _row_hash(g, np.full(m, doc, np.int64), np.full(m, tie, np.int32), p.pos[p.first].astype(np.int32)))
+                by_hash = has_bit(hot.value, g)
+                few = p.first[take & ~by_hash].tolist()
+                add([int(p.g[j]) for j in few], [None] * len(few), [doc] * len(few), [tie] * len(few), p.start[few].tolist(), p.end[few].tolist(), [text[p.start[j] : p.end[j]].tobytes() for j in few])
+                many = p.first[take & by_hash]
+                if len(many):
+                    n = p.end[many] - p.start[many] - LENGTH + 1
+                    at = np.repeat(p.start[many] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
                     h = p.hashes(at - p.base, LENGTH)
-                    for o, v in zip(out, (h.view(np.int64).tolist(), mix(h ^ p.g[j : j + 1].view(np.uint64) * _M[0]).view(np.int64).tolist(), [doc] * len(at), [tie] * len(at), at.tolist(), [None] * len(at)), strict=True):
-                        o.extend(v)
+                    _, one = np.unique(h, return_index=True)  # a string's first place, for at ascends with the anchors
+                    later = np.setdiff1d(np.arange(len(at)), one)
+                    later = np.unique(at[later][~np.isin(at[later], at[one])])
+                    own += _spans_of(later, later + LENGTH)
+                    at, h = at[one], h[one]
+                    half = LENGTH // 2
+                    other = mix(p.hashes(at - p.base, half) * _M[0] ^ p.hashes(at - p.base + half, LENGTH - half))
+                    add(h.view(np.int64).tolist(), other.view(np.int64).tolist(), [doc] * len(at), [tie] * len(at), at.tolist(), (at + LENGTH).tolist(), [None] * len(at))
+                add([None] * len(own), [None] * len(own), [doc] * len(own), [tie] * len(own), [a for a, _ in own], [b for _, b in own], [None] * len(own))
                 if len(out[0]) > 20_000:
                     yield _rows(out)
                     out = [[] for _ in names]
@@ -171,7 +201,7 @@ def _contexts(wanted, hot):
             yield _rows(out)
 
     def _rows(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary())
         return _batch(names, [pa.array(o, k) for o, k in zip(out, kinds, strict=True)])
 
     return run
@@ -263,8 +293,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     are shuffled and sorted: contexts after the first of equal ones are covered whole. What is left to compare are the first
     ones where an anchor has several. Their bytes are fetched by a second scan, which finds them by a bitmap of fixed size,
     and go to shards by anchor, where suffix arrays by induced sorting and permuted common prefixes give the repeated
-    strings. Anchors with over 2,048 different contexts (a passage in very many documents) would not fit a shard:
-    their strings are hashed to 128 bits and grouped, copies combined before the shuffle.
+    strings. Anchors with more contexts than a shard holds (a passage in very many
+    documents) have their strings hashed and grouped, copies combined before the shuffle. What a text repeats of itself is
+    found where it lies.
     """
     anchors = docs.mapInArrow(_anchors, "g long, c long, doc long, tie int, pos int")
     marks = written(anchors.repartition("g").sortWithinPartitions(*_ANCHOR).mapInArrow(_marks, "g long, id long, doc long, tie int, pos int"), "anchors")
@@ -274,11 +305,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     found = written(docs.mapInArrow(_contexts(sc.broadcast(wanted), sc.broadcast(hot)), _CONTEXT), "contexts")
     exact = found.where("bytes is not null").drop("h").repartition("g").sortWithinPartitions("g").select("g", "doc", "tie", "start", "bytes").mapInArrow(_shards, _SPAN)
-    strings = found.where("bytes is null").select("g", "h", "doc", "tie", "start")
+    strings = found.where("bytes is null and g is not null").select("g", "h", "doc", "tie", "start")
     firsts = written(strings.groupBy("g", "h").agg(F.min(F.struct("doc", "tie", "start")).alias("first")), "hot-strings")
     hashed = strings.join(firsts, ["g", "h"]).where(F.struct("doc", "tie", "start") != F.col("first")).select("doc", "tie", "start", (F.col("start") + LENGTH).alias("end"))
     covered = marks.where("id is null").select("doc", "tie", F.greatest(F.col("pos") - _LEFT, F.lit(0)).alias("start"), (F.col("pos") + _RIGHT).alias("end"))
-    return covered.unionByName(exact).unionByName(hashed)
+    own = found.where("g is null").select("doc", "tie", "start", "end")
+    return covered.unionByName(own).unionByName(exact).unionByName(hashed)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

@@ -83,3 +83,13 @@ def test_nulls_and_repeated_rows(spark):
     n = len(t)
     assert got == sorted([("None", n, 0, 0), ("3", n, n, 1), ("3", n, n, 1), ("3", 5, 0, 0), ("9", 0, 0, 0), ("None", 0, 0, 0)])
     assert sd.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pieces_find_the_anchors_of_the_whole(monkeypatch):
+    text = np.frombuffer(b" ".join(str(i * i).encode() for i in range(3000)) + b"Of " * 900, np.uint8)
+    whole = next(sd._pieces(text))
+    monkeypatch.setattr(sd, "_PIECE", 777)
+    parts = list(sd._pieces(text))
+    assert len(parts) > 10
+    for name in ("pos", "g", "c", "start", "end"):
+        assert np.unique(np.concatenate([getattr(p, name) for p in parts])).tolist() == np.unique(getattr(whole, name)).tolist()
