@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry, vectors
+from . import geometry, sequences, tracks, vectors
 
-_MODULES = (vectors, geometry)
+_MODULES = (vectors, geometry, sequences, tracks)
 
 
 def queries() -> dict:
