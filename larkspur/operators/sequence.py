@@ -37,7 +37,8 @@ def windows(n: Column, length: int = 49, overlap: int = 13, least: int = 5) -> C
     """array<struct<start, end>> of positions that windows of 4k + 1 frames take in a segment of n.
 
     Candidates start every ``length - overlap`` positions; the first that is too short or ends no later than the one before
-    it, or follows one that reached the end, stops the list. The last window slides back to end at n - 1.
+    it, or follows one that reached the end, stops the list. The last window slides back to
+    end at n - 1 if it still starts after the window two before it, so that no frame is in more than two windows.
     """
     stride = max(1, length - overlap)
     start = lambda j: j * stride
@@ -46,7 +47,7 @@ def windows(n: Column, length: int = 49, overlap: int = 13, least: int = 5) -> C
     index = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((n - 1) / stride)))
     fails = F.filter(index, stop)
     taken = F.transform(F.slice(index, 1, F.when(F.size(fails) > 0, fails[0]).otherwise(F.size(index)).cast("int")), lambda j: F.struct(start(j).alias("start"), end(j).alias("end")))
-    last, before = F.element_at(taken, -1), F.when(F.size(taken) > 1, F.element_at(taken, -2)["end"]).otherwise(F.lit(-1).cast("long"))
+    last, before = F.element_at(taken, -1), F.when(F.size(taken) > 2, F.element_at(taken, -3)["end"]).otherwise(F.lit(-1).cast("long"))
     back = n - 1 - (last["end"] - last["start"])
     slid = F.concat(F.slice(taken, 1, F.size(taken) - 1), F.array(F.struct(back.alias("start"), (n - 1).alias("end"))))
     return F.when((F.size(taken) == 0) | (n <= 0), F.array().cast("array<struct<start:bigint,end:bigint>>")).when((last["end"] < n - 1) & (back > before), slid).otherwise(taken)

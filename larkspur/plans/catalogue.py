@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry, sequences, tracks, vectors
+from . import geometry, sequences, stateful, tracks, vectors
 
-_MODULES = (vectors, geometry, sequences, tracks)
+_MODULES = (vectors, geometry, sequences, tracks, stateful)
 
 
 def queries() -> dict:

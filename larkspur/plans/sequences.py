@@ -133,7 +133,7 @@ _WIN = f""" sz AS (SELECT {_K}, count(*) AS n FROM seg GROUP BY {_K}), cd AS (SE
  ce AS (SELECT *, j * 36 AS st, j * 36 + greatest(1, ((least(49, n - j * 36) - 1) // 4) * 4 + 1) - 1 AS en FROM cd),
  cf AS (SELECT *, (en - st + 1 < 5) OR coalesce(en <= lag(en) OVER o OR lag(en) OVER o >= n - 1, false) AS fail FROM ce WINDOW o AS (PARTITION BY {_K} ORDER BY j)),
  cg AS (SELECT *, min(CASE WHEN fail THEN j END) OVER (PARTITION BY {_K}) AS ff FROM cf), ci AS (SELECT * FROM cg WHERE ff IS NULL OR j < ff),
- cl AS (SELECT *, lead(j) OVER o IS NULL AS is_last, coalesce(lag(en) OVER o, -1) AS pe FROM ci WINDOW o AS (PARTITION BY {_K} ORDER BY j)),
+ cl AS (SELECT *, lead(j) OVER o IS NULL AS is_last, coalesce(lag(en, 2) OVER o, -1) AS pe FROM ci WINDOW o AS (PARTITION BY {_K} ORDER BY j)),
  win AS (SELECT {_K}, j AS window_idx, CASE WHEN is_last AND en < n - 1 AND n - 1 - (en - st) > pe THEN n - 1 - (en - st) ELSE st END AS start_pos,
    CASE WHEN is_last AND en < n - 1 AND n - 1 - (en - st) > pe THEN n - 1 ELSE en END AS end_pos FROM cl)"""
 _O = "(PARTITION BY video_id, obj_id ORDER BY frame_idx)"
