@@ -79,6 +79,20 @@ def crop_rect(b: Box, width: int, height: int) -> list[Column]:
     return [clamp(F.floor(b[1]), height), clamp(F.floor(b[0]), width), clamp(F.ceil(b[3]), height), clamp(F.ceil(b[2]), width)]
 
 
+def letterbox(w: Column, h: Column, width: int, height: int) -> list[Column]:
+    """(x0, y0, w, h): an image as large as fits the canvas, centred; sides round half-even, margins down."""
+    scale = F.least(F.lit(float(width)) / w, F.lit(float(height)) / h)
+    nw, nh = F.bround(w * scale).cast("long"), F.bround(h * scale).cast("long")
+    return [F.floor((width - nw) / 2), F.floor((height - nh) / 2), nw, nh]
+
+
+def to_crop(x: Column, y: Column, rect: Sequence[Column], width: int, height: int) -> tuple[Column, Column]:
+    """A point of the image in the pixels of a crop (y0, x0, y1, x1) that is resized to width by height."""
+    sx = F.lit(float(width)) / F.greatest(F.lit(1).cast("long"), rect[3] - rect[1])
+    sy = F.lit(float(height)) / F.greatest(F.lit(1).cast("long"), rect[2] - rect[0])
+    return (x - rect[1]) * sx, (y - rect[0]) * sy
+
+
 def body_from_face(face: Box, width: int, height: int) -> list[Column]:
     """(x1, y1, x2, y2) of the body a face suggests: 3 widths, 7.5 heights down from the face's top and a fifth above; all of the image for a null face."""
     w, h = F.greatest(F.lit(1.0), face[2] - face[0]), F.greatest(F.lit(1.0), face[3] - face[1])

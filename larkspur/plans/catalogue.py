@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry, sequences, stateful, tracks, vectors
+from . import geometry, records, sequences, stateful, tracks, vectors
 
-_MODULES = (vectors, geometry, sequences, tracks, stateful)
+_MODULES = (vectors, geometry, sequences, tracks, records, stateful)
 
 
 def queries() -> dict:
