@@ -50,10 +50,12 @@ def q_f20_crop_points(spark, sf_dir):
 
 
 def q_f26_duration(spark, sf_dir):
-    """How long an object's track is at 25 frames a second, as minutes and seconds."""
-    s = (F.max("frame_idx") - F.min("frame_idx")) / 25.0
-    t = bridge.detections(spark, sf_dir).groupBy("video_id", "obj_id").agg(F.floor(s).alias("s"))
-    return t.select("video_id", "obj_id", F.concat(F.floor(F.col("s") / 60), F.lit("m"), F.lpad((F.col("s") % 60).cast("string"), 2, "0"), F.lit("s")).alias("duration"))
+    """How long an object's track is at 25 frames a second: hours if there are any, minutes, seconds."""
+    t = bridge.detections(spark, sf_dir).groupBy("video_id", "obj_id").agg(F.bround((F.max("frame_idx") - F.min("frame_idx")) / 25.0).cast("long").alias("s"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    h, m, s = F.floor(F.col("s") / 3600), F.floor(F.col("s") / 60) % 60, F.col("s") % 60
+    text = F.when(h > 0, F.concat(h, F.lit("h"), two(m), F.lit("m"))).otherwise(F.concat(m, F.lit("m")))
+    return t.select("video_id", "obj_id", F.concat(text, two(s), F.lit("s")).alias("duration"))
 
 
 def q_w16_box_filter(spark, sf_dir):
@@ -78,6 +80,6 @@ UNION ALL SELECT 'rebind', video_id, obj_id, frame_idx, gid, NULL, gid_prev FROM
 SELECT event_id, ({CANVAS[0]} - w) // 2 AS x0, ({CANVAS[1]} - h) // 2 AS y0, w, h FROM r""",
     "q_f20_crop_points": f"""WITH {DET_SQL}, c AS (SELECT *, greatest(0, least(1500, x1)) AS cx0, greatest(0, least(1500, x2)) AS cx1, greatest(0, least(1000, y1)) AS cy0, greatest(0, least(1000, y2)) AS cy1 FROM det)
 SELECT event_id, round((CAST(x1 + x2 AS DOUBLE) / 2 - cx0) * ({CANVAS[0]}::DOUBLE / greatest(1, cx1 - cx0)), 6) AS x, round((y1::DOUBLE - cy0) * ({CANVAS[1]}::DOUBLE / greatest(1, cy1 - cy0)), 6) AS y FROM c""",
-    "q_f26_duration": f"""WITH {DET_SQL}, t AS (SELECT video_id, obj_id, (max(frame_idx) - min(frame_idx)) // 25 AS s FROM det GROUP BY video_id, obj_id)
-SELECT video_id, obj_id, (s // 60) || 'm' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' AS duration FROM t""",
+    "q_f26_duration": f"""WITH {DET_SQL}, t AS (SELECT video_id, obj_id, CAST(round_even(CAST(max(frame_idx) - min(frame_idx) AS DOUBLE) / 25, 0) AS BIGINT) AS s FROM det GROUP BY video_id, obj_id)
+SELECT video_id, obj_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || 'm' ELSE (s // 60) || 'm' END || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' AS duration FROM t""",
 }
