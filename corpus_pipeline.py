@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontam, exact_dedup, mixing, simhash, toxicity
+from larkspur.llm import decontam, exact_dedup, mixing, shingles, toxicity
 from larkspur.llm.common import written
 
 
@@ -17,7 +17,7 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return shingles.drop_similar(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

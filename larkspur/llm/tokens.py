@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: ASCII letters and digits and all bytes of other letters make up words; A-Z count as a-z.
 _IN_WORD = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
+#: All bytes but ASCII white space, for words as the contracts define them.
+NO_SPACE = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 _VALUE = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 1 << 20  # bytes looked at together
@@ -33,10 +35,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, breaks: np.ndarray, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of the bytes; no word runs over one of the breaks (offsets where texts start)."""
     n = len(data)
-    inside = _IN_WORD[data]
+    inside = in_word[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     at = breaks[(breaks > 0) & (breaks < n)]
@@ -52,17 +54,17 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def _cut(data: np.ndarray, at: int) -> int:
+def _cut(data: np.ndarray, at: int, in_word: np.ndarray) -> int:
     """The first place from at on that is not inside a word, or the end."""
     while at < len(data):
-        part = ~_IN_WORD[data[at : at + 4096]]
+        part = ~in_word[data[at : at + 4096]]
         if part.any():
             return at + int(part.argmax())
         at += 4096
     return len(data)
 
 
-def token_runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def token_runs(texts: pa.Array, in_word: np.ndarray = _IN_WORD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, words, row of each word counted from it): some whole texts at a time. Null is empty.
 
     Texts come together up to a megabyte; a longer one comes alone, and its words are hashed piece by piece.
@@ -80,13 +82,13 @@ def token_runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if stop == row + 1 and hi - lo > 2 * _STEP:
             one, at = data[lo:hi], 0
             while at < len(one):
-                to = _cut(one, at + _STEP)
-                hashes.append(word_hashes(one[at:to], np.empty(0, np.int64))[0])
+                to = _cut(one, at + _STEP, in_word)
+                hashes.append(word_hashes(one[at:to], np.empty(0, np.int64), in_word)[0])
                 at = to
             words = np.concatenate(hashes)
             rows = np.zeros(len(words), np.int64)
         else:
-            words, starts, _ = word_hashes(data[lo:hi], offsets[row:stop] - lo)
+            words, starts, _ = word_hashes(data[lo:hi], offsets[row:stop] - lo, in_word)
             rows = np.searchsorted(offsets[row : stop + 1] - lo, starts, "right") - 1
         yield row, words, rows
         row = stop
