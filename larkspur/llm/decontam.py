@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .tokens import mix, token_runs
 
-#: The masks. A 1 is a word that must agree, a 0 a word that may differ.
-MASKS = ("11111111", "111010111", "1101100111", "1100111011", "10111000111")
+#: The masks. A 1 is a word that must agree, a 0 a word that may differ. Chosen by enumeration: wherever the
+#: words that differ stand in an overlap of 13 to 25 words, one mask fits between them. A longer overlap can be cut into
+#: pieces of such lengths, and one of these agrees as well as the whole.
+MASKS = ("1101100111", "1100111011", "10111000111", "1100000010111", "1111101")
 MIN_OVERLAP = 13  # words that an overlap spans at least, or all words of a shorter item
 SIMILARITY = 0.8  # of them agree at least
 BLOCK_TOKENS = 1 << 20  # words of benchmark items looked for in one pass over the documents
@@ -22,6 +25,13 @@ OUT = "doc_id long, item_id long, doc_start long, item_start long, overlap long,
 _FIELDS = [x.split()[0] for x in OUT.split(", ")]
 
 
+def short_masks(n: int) -> list[list[int]]:
+    """Masks for items of n words, fewer than MIN_OVERLAP: one fits wherever the words inside that may differ stand."""
+    wrong = int(n * (1 - SIMILARITY) + 1e-9)
+    parts = [x.tolist() for x in np.array_split(np.arange(1, n - 1), wrong + 2) if len(x)] if wrong else []
+    return [sorted(set(range(n)).difference(*out)) for out in combinations(parts, wrong)]
+
+
 class Items:
     """The words of a block of benchmark items and its seeds, sorted by hash."""
 
@@ -30,10 +40,9 @@ class Items:
         flat = np.concatenate(words) if words else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(words)), [len(w) for w in words])
         first = np.repeat(np.cumsum([0, *map(len, words)])[:-1], [len(w) for w in words])
-        shortest = min(map(len, MASKS))
-        short = sorted({len(w) for w in words if 0 < len(w) < shortest})
-        self.masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in short]
-        self.only = [0] * len(MASKS) + short  # the masks of short items are theirs alone
+        short = [(n, m) for n in sorted({len(w) for w in words if 0 < len(w) < MIN_OVERLAP}) for m in short_masks(n)]
+        self.masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [m for _, m in short]
+        self.only = [0] * len(MASKS) + [n for n, _ in short]  # the masks of short items are theirs alone
         h, at, m = [], [], []
         lengths = np.array([len(w) for w in words])
         for j in range(len(self.masks)):
@@ -94,17 +103,12 @@ def _segment(same: np.ndarray) -> tuple[int, int]:
     """Start and length of the longest stretch of which SIMILARITY agrees, and whose ends do."""
     n = len(same)
     total = np.append(0.0, np.cumsum(same - SIMILARITY)) + 1e-9 * np.arange(n + 1)
-    low = np.minimum.accumulate(total)
+    low = np.minimum.accumulate(np.where(np.append(same, False), total, np.inf))
     # A stretch [i, k) is dense enough if total[i] <= total[k]: for each end, the first start as low.
     starts = np.searchsorted(-low, -total, "left")
-    sizes = np.arange(n + 1) - starts
+    sizes = np.where(np.insert(same, 0, False), np.arange(n + 1) - starts, 0)
     k = int(sizes.argmax())
-    i = int(starts[k])
-    while i < k and not same[i]:
-        i += 1
-    while k > i and not same[k - 1]:
-        k -= 1
-    return i, k - i
+    return (int(starts[k]), int(sizes[k])) if sizes[k] > 0 else (0, 0)
 
 
 def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[Items]:
