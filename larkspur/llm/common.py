@@ -77,10 +77,22 @@ def has_bit(bitmap_bytes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap_bytes[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in dropped(doc_id). Rows that the bitmap surely lacks skip the shuffle."""
-    dropped = written(dropped.select(F.col("doc_id").alias("__ls_dropped")).where("__ls_dropped is not null"), "dropped")
-    marked = maybe_in(docs.withColumn("__ls_key", F.xxhash64("doc_id")), F.col("__ls_key"), bitmap(dropped, F.xxhash64("__ls_dropped"))).drop("__ls_key")
-    sure = marked.where(~F.col("__ls_hit")).select(docs.columns)
-    rest = marked.where("__ls_hit").join(dropped, F.col("doc_id") == F.col("__ls_dropped"), "left_anti").select(docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and ``__ls_row``, a number of the row. Written, so the numbers hold: ids may be null or repeat, rows may be alike."""
+    return written(docs.withColumn("__ls_row", F.monotonically_increasing_id()), "rows")
+
+
+def all_but_first(members: DataFrame) -> DataFrame:
+    """(row, group, at) -> (__ls_dropped): all rows but the first of their group by ``at``, which differs between rows."""
+    kept = members.groupBy("group").agg(F.min("at").alias("least"))
+    return members.join(kept, "group").where("at <> least").select(F.col("row").alias("__ls_dropped"))
+
+
+def without(table: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose number is not in dropped(__ls_dropped). Rows that the bitmap surely lacks skip the shuffle."""
+    columns = [c for c in table.columns if c != "__ls_row"]
+    dropped = written(dropped, "dropped")
+    marked = maybe_in(table, F.xxhash64("__ls_row"), bitmap(dropped, F.xxhash64("__ls_dropped")))
+    sure = marked.where(~F.col("__ls_hit")).select(columns)
+    rest = marked.where("__ls_hit").join(dropped, F.col("__ls_row") == F.col("__ls_dropped"), "left_anti").select(columns)
     return sure.unionByName(rest)

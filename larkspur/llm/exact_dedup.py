@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import bitmap, maybe_in, without, written
+from .common import all_but_first, bitmap, maybe_in, numbered, without, written
 
 BLOCK_ROWS = 1 << 16  # documents whose fingerprints a task sends at once
 
@@ -137,8 +137,13 @@ def exact_duplicates(docs: DataFrame, fingerprint: Column | None = None, owners:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows whose text a row with a larger doc_id has."""
-    return without(docs, exact_duplicates(docs).where("not kept").select("doc_id"))
+    """docs, all columns, with one row of each text: the one with the largest doc_id, a null id last, of equal rows any."""
+    table = numbered(docs)
+    copied = written(exact_duplicates(table).where("group_size > 1").select(F.col("text_sha256").alias("group")).distinct(), "copied")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = maybe_in(table.select(F.col("__ls_row").alias("row"), "doc_id", digest.alias("group")), F.xxhash64("group"), bitmap(copied, F.xxhash64("group"))).where("__ls_hit")
+    at = F.struct(F.col("doc_id").isNull().alias("null"), (-F.col("doc_id").cast("decimal(20)")).alias("id"), F.col("row")).alias("at")
+    return without(table, all_but_first(written(found.join(copied, "group", "left_semi").select("row", "group", at), "members")))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

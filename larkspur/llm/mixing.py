@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, numbered, written
 
 WEIGHTS = (3, 1, 2)  # of the sources in code-point order, repeating; null comes last
 SHARE, MOST = 1.5, 2.0  # of all words; of a source's words
@@ -38,8 +38,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
-    """How often each document is taken: doc_id, size, source, source_size, target, copies, taken.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """How often each document is taken: doc_id, size, source, source_size, target, copies, taken, and the columns of ``carry``.
 
     Within a source, documents stand in the order of their size, then of a hash of doc_id. Each expects ``rate`` copies;
     their prefix sum plus one offset of the source crosses ``copies`` whole numbers in each document. Neighbours have like
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")).withColumn("key", key)
+    sized = docs.select("doc_id", "source", *carry, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")).withColumn("key", key)
     order = ["size", "key", F.col("doc_id").asc_nulls_first()]
     ranged = written(sized.repartitionByRange(n, F.col("source").asc_nulls_last(), *order).withColumn("part", F.spark_partition_id()), "mixing")
     parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
@@ -64,9 +64,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     end = (F.col("before") + F.col("rank_in_part")).cast("double")
     copies = F.floor(end * F.col("rate") + F.col("offset")) - F.floor((end - 1) * F.col("rate") + F.col("offset"))
     return (
-        placed.select("d.doc_id", "d.size", "d.source", "source_size", "target", "rate", "before", "rank_in_part")
+        placed.select("d.doc_id", "d.size", "d.source", *carry, "source_size", "target", "rate", "before", "rank_in_part")
         .withColumn("offset", offset)
-        .select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
+        .select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), *carry)
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
@@ -107,10 +107,8 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it, numbered by ``copy_no`` from 1.
-
-    Rows that repeat a doc_id are each emitted as often as the one of them that is taken least.
-    """
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("__ls_doc")).agg(F.min("copies").alias("__ls_copies")).where("__ls_copies > 0")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__ls_doc")))
+    """docs, all columns, each row as often as the mix takes it, numbered by ``copy_no`` from 1. Rows are matched by number."""
+    table = numbered(docs)
+    plan = mix(table, **options, carry=("__ls_row",)).where("copies > 0").select("__ls_row", F.col("copies").alias("__ls_copies"))
+    joined = table.join(plan, "__ls_row")
     return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__ls_copies").cast("int")))).select(*[c for c in docs.columns if c != "copy_no"], "copy_no")

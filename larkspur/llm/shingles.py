@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, maybe_in, written
+from .common import all_but_first, bitmap, maybe_in, numbered, without, written
 from .components import components
 from .tokens import NO_SPACE, mix, token_runs
 
@@ -239,12 +239,9 @@ def drop_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILA
 
     Rows are told apart by a row number, so null and repeated ids are rows like others.
     """
-    table = written(docs.withColumn("__ls_row", F.monotonically_increasing_id()), "rows")
+    table = numbered(docs)
     nodes = components(similar_links(table, width, similarity))
     ids = maybe_in(table.select("__ls_row", "doc_id"), F.xxhash64("__ls_row"), bitmap(nodes, F.xxhash64("node"))).where("__ls_hit")
-    members = written(nodes.join(ids, nodes["node"] == ids["__ls_row"]).select("node", "root", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("node").alias("r")).alias("at")), "members")
-    kept = members.groupBy("root").agg(F.min("at").alias("least"))
-    dropped = written(members.join(kept, "root").where("node <> least.r").select(F.col("node").alias("__ls_dropped")), "dropped")
-    marked = maybe_in(table, F.xxhash64("__ls_row"), bitmap(dropped, F.xxhash64("__ls_dropped")))
-    rest = marked.where("__ls_hit").join(dropped, F.col("__ls_row") == F.col("__ls_dropped"), "left_anti")
-    return marked.where(~F.col("__ls_hit")).select(docs.columns).unionByName(rest.select(docs.columns))
+    at = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("node").alias("row")).alias("at")
+    members = nodes.join(ids, nodes["node"] == ids["__ls_row"]).select(F.col("node").alias("row"), F.col("root").alias("group"), at)
+    return without(table, all_but_first(written(members, "members")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import all_but_first, numbered, without, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -145,8 +145,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each component: the one with the smallest doc_id."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
+    """docs, all columns, with one row of each component: the one with the smallest doc_id, null last."""
+    table = numbered(docs)
+    found = near_duplicates(table.select(F.col("__ls_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    at = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row").alias("row")).alias("at")
+    members = found.join(table.select("__ls_row", "doc_id"), F.col("row") == F.col("__ls_row")).select("row", "group", at)
+    return without(table, all_but_first(written(members, "members")))
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
