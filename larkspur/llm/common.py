@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +30,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/larkspur-{sc.applicationId}"
 
 
+_TABLES: list[str] = []
+_BROADCASTS: list = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, fixes what is not deterministic."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this application has written to the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def shared(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a value whose size has a bound; release() takes it back."""
+    _BROADCASTS.append(spark.sparkContext.broadcast(value))
+    return _BROADCASTS[-1]
+
+
+def mark() -> tuple[int, int]:
+    """What release() is to leave: tables and broadcasts made before."""
+    return len(_TABLES), len(_BROADCASTS)
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: int = 0) -> None:
+    """Delete the tables and broadcasts made since a mark, but for the last ``keep`` tables. Only what no DataFrame needs any more."""
+    stop = len(_TABLES) - keep
+    for path in _TABLES[since[0] : stop]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for b in _BROADCASTS[since[1] :]:
+        b.destroy()
+    del _TABLES[since[0] : stop], _BROADCASTS[since[1] :]
 
 
 def bitmap(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
 from .tokens import mix, token_runs
 
 #: The masks. A 1 is a word that must agree, a 0 a word that may differ. Chosen by enumeration: wherever the
@@ -145,14 +146,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
 
 
 def _search(docs: DataFrame, items: Items):
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    sent = shared(docs.sparkSession, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
             for first, words, row in token_runs(b.column(1)):
-                for r, item, *rest in shared.value.overlaps(words, row) if len(words) else ():
-                    rows.append((ids[first + r], shared.value.ids[item], *rest))
+                for r, item, *rest in sent.value.overlaps(words, row) if len(words) else ():
+                    rows.append((ids[first + r], sent.value.ids[item], *rest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_FIELDS)
 
@@ -167,13 +168,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int =
 
 
 def _clean(docs: DataFrame, items: Items, text: int):
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    sent = shared(docs.sparkSession, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.ones(b.num_rows, bool)
             for first, words, row in token_runs(b.column(text)):
-                for r, *_ in shared.value.overlaps(words, row) if len(words) else ():
+                for r, *_ in sent.value.overlaps(words, row) if len(words) else ():
                     keep[first + r] = False
             yield b.filter(pa.array(keep))
 

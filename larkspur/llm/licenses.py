@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
 from .tokens import token_runs
 
 #: Notices of public licenses.
@@ -151,9 +152,9 @@ class Templates:
 OUT = "doc_id long, license string, coverage double, matched long, start long, end long, copies long"
 
 
-def _scan(shared):
+def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = shared.value
+        templates = sent.value
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for first, words, rows in token_runs(b.column(1)):
@@ -176,8 +177,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     is shuffled. Words in templates mark places; a place whose words could cover ``least`` of a template is aligned with it.
     Null and empty texts have no license, a null doc_id stays null, repeated rows are reported each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES, least))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scan(shared), OUT)
+    sent = shared(docs.sparkSession, Templates(templates or TEMPLATES, least))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scan(sent), OUT)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_but_first, bitmap, maybe_in, numbered, without, written
+from .common import bitmap, maybe_in, shared, written
 from .components import components
 from .tokens import NO_SPACE, mix, token_runs
 
@@ -178,7 +178,7 @@ def _similar(width: int, similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, table: DataFrame, width: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, table: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose whole sets are similar. Texts of no other rows are shuffled."""
     pairs = written(pairs.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
@@ -188,8 +188,8 @@ def _verified(pairs: DataFrame, table: DataFrame, width: int, similarity: float)
     return written(joined.mapInArrow(_similar(width, similarity), "a long, b long"), "similar")
 
 
-def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): pairs of __ls_row whose shingle sets have a Jaccard similarity of at least ``similarity``, enough of them to
+def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): ``known`` links and pairs of __ls_row whose shingle sets have a Jaccard similarity of at least ``similarity``, enough of them to
     connect all that have.
 
     In one order of all shingles, similar sets share one of their first few, so rows meet under those. Common shingles
@@ -197,15 +197,16 @@ def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMI
     pairs with the square of their size: rows of a large bucket are first compared with one of them, drawn anew each turn,
     as long as that connects many; then all pairs that are not connected yet are compared. Nothing is left out.
     """
-    hot = table.sparkSession.sparkContext.broadcast(_hot(table, width))
+    hot = shared(table.sparkSession, _hot(table, width))
     keys = table.select(F.col("__ls_row").alias("row"), F.coalesce("text", F.lit("")).alias("t")).mapInArrow(_prefixes(hot, width, similarity), _BUCKETS)
     buckets = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_shared), _BUCKETS), "buckets")
     large = written(buckets.join(buckets.groupBy("key").count().where(f"count > {SMALL}").select("key"), "key", "left_semi"), "large")
-    found, roots, turn, rows = [], None, 0, large.select("row").distinct().count()
+    found = [] if known is None else [known]
+    roots, turn, rows = None if known is None else components(known), 0, large.select("row").distinct().count()
     while rows:
         turn += 1
         pairs = _rooted(large, roots).mapInArrow(_hubs(similarity, turn), "a long, b long")
-        found.append(_verified(pairs, table, width, similarity))
+        found.append(verified(pairs, table, width, similarity))
         if found[-1].isEmpty():
             break
         roots, before = components(_union(found)), roots
@@ -215,7 +216,7 @@ def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMI
         if merged * 10 < rows:
             break
     pairs = _rooted(buckets, roots).mapInArrow(_all(similarity), "a long, b long")
-    found.append(_verified(pairs, table, width, similarity))
+    found.append(verified(pairs, table, width, similarity))
     return _union(found)
 
 
@@ -232,16 +233,3 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t)
     return out
-
-
-def drop_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """docs, all columns, with one row of each component of similar rows: the one with the smallest doc_id, null last.
-
-    Rows are told apart by a row number, so null and repeated ids are rows like others.
-    """
-    table = numbered(docs)
-    nodes = components(similar_links(table, width, similarity))
-    ids = maybe_in(table.select("__ls_row", "doc_id"), F.xxhash64("__ls_row"), bitmap(nodes, F.xxhash64("node"))).where("__ls_hit")
-    at = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("node").alias("row")).alias("at")
-    members = nodes.join(ids, nodes["node"] == ids["__ls_row"]).select(F.col("node").alias("row"), F.col("root").alias("group"), at)
-    return without(table, all_but_first(written(members, "members")))

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_but_first, numbered, without, written
+from . import shingles
+from .common import all_but_first, bitmap, maybe_in, numbered, without, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -37,10 +38,18 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.fromiter((fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+def _fingerprints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+
+    return run
+
+
+def fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """rows(doc_id, text) -> (doc_id, fp), written."""
+    return written(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "simhash")
 
 
 #: The bits of a fingerprint in three blocks. See links().
@@ -134,7 +143,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of a component are null. Repeated rows each get their row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    table = written(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
+    table = fingerprints(rows, SHINGLE)
     classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp")))
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -144,8 +153,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return table.join(owners, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_links(table: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """(a, b): pairs of __ls_row of table(__ls_row, text) whose sets of ``width``-word shingles have a Jaccard similarity of at
+    least ``similarity``, enough of them to connect all rows that have such a pair.
+
+    Rows of equal fingerprints meet the least of them, and those of fingerprints within the radius meet by ball hashing; the
+    whole shingle sets of what meets are compared. At a similarity of 0.8 fingerprints differ in about ten bits, more than
+    any ball can span, so prefix filtering finds the rest, between rows that are not connected yet.
+    """
+    rows = fingerprints(table.select(F.col("__ls_row").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), width)
+    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    copies = rows.join(least, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    one, two = (least.select(F.col("fp").alias(x), F.col("least").alias(f"row_{x}")) for x in ("a", "b"))
+    near = links(least.select("fp")).join(one, "a").join(two, "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    known = shingles.verified(copies.unionByName(near), table, width, similarity)
+    return shingles.similar_links(table, width, similarity, known)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each component: the one with the smallest doc_id, null last."""
+    """docs, all columns, with one row of each component of near_duplicates: the one with the smallest doc_id, null last."""
     table = numbered(docs)
     found = near_duplicates(table.select(F.col("__ls_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     at = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row").alias("row")).alias("at")
@@ -153,5 +179,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return without(table, all_but_first(written(members, "members")))
 
 
+def drop_similar(docs: DataFrame, width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """docs, all columns, with one row of each component of near_links: the one with the smallest doc_id, null last.
+
+    Rows are told apart by a row number, so null and repeated ids are rows like others, and of rows that are alike one stays.
+    Null and empty texts and texts without words are alike; a text of fewer words than a shingle is one shingle.
+    """
+    table = numbered(docs)
+    nodes = components(near_links(table, width, similarity))
+    ids = maybe_in(table.select("__ls_row", "doc_id"), F.xxhash64("__ls_row"), bitmap(nodes, F.xxhash64("node"))).where("__ls_hit")
+    at = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("node").alias("row")).alias("at")
+    members = nodes.join(ids, nodes["node"] == ids["__ls_row"]).select(F.col("node").alias("row"), F.col("root").alias("group"), at)
+    return without(table, all_but_first(written(members, "members")))
+
+
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

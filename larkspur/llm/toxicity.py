@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import written
+from .common import shared, written
 
 _WORDS = re.compile(r"\w+")
 
@@ -25,7 +26,7 @@ class Params:
     n_grams: tuple[int, ...] = (3, 4, 5, 6)
     least: int = 10  # training documents that a bucket needs to have a vector
     rows: int = 2000  # labelled documents of each class that training reads at most
-    longest: int = 50_000  # characters of a training document at most; scoring reads all
+    longest: int = 50_000  # characters of a text that training reads; longer labelled texts are not in the sample, scoring reads all
     epochs: int = 10
     rate: float = 40.0  # falls to nothing; a bucket's step is its share of the document times this
     seed: int = 7
@@ -55,11 +56,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
     Returns what a score needs of them: for each bucket the difference of its two logits, and that of the biases.
     """
     rng = np.random.default_rng(p.seed)
-    used = np.zeros(p.buckets, np.int32)
+    known = np.zeros(p.buckets, bool)
     for ids, _ in bags:
-        used[ids] += 1
-    known = used >= min(p.least, max(1, len(bags) // 50))
-    bags = [(ids[known[ids]], share[known[ids]].astype(np.float32)) for ids, share in bags]
+        known[ids] = True
     table = np.where(known[:, None], rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)), 0).astype(np.float32)
     weights, bias = rng.uniform(-0.5, 0.5, (p.dim, 2)).astype(np.float32), np.zeros(2)
     for epoch in range(p.epochs):
@@ -79,36 +78,69 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
     return (table @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
+_BAGS = "doc_id long, toxic int, ids array<int>, counts array<int>"
+_PACKED = "doc_id long, toxic int, ids binary, share binary"
+
+
 def _bags(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [bag(t, p) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([list(x) for x in bags], pa.list_(pa.int32())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "ids", "counts"],
-            )
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                bags = [bag(t, p) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array([list(x) for x in bags], pa.list_(pa.int32())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32()))],
+                    names=["doc_id", "toxic", "ids", "counts"],
+                )
+
+    return run
+
+
+def _packed(known):
+    """Bags with the buckets that training keeps, as bytes: int32 ids and float32 shares of the whole bag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, share = [], []
+            for i, n in zip(b.column(2), b.column(3), strict=True):
+                i, n = i.values.to_numpy(), n.values.to_numpy()
+                keep = known.value[i]
+                ids.append(i[keep].astype("<i4").tobytes())
+                share.append((n[keep] / max(1, n.sum())).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(share, pa.binary())], names=["doc_id", "toxic", "ids", "share"])
 
     return run
 
 
-HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, float]:
-    """Learns from at most ``p.rows`` rows of each class, those first by a hash of doc_id, and never from held-out ones."""
-    usable = labels.where(f"toxic in (0, 1) and doc_id is not null and not {HELD_OUT}").select("doc_id", "toxic").distinct()
+    """Learns from at most ``p.rows`` rows of each class, those first by a hash of doc_id, and never from held-out ones.
+
+    The sample is bounded by ``p.rows`` and ``p.longest``: of a doc_id that several rows of docs share, the least text
+    counts; labelled texts over ``p.longest`` characters are left out. Null doc_ids and labels teach nothing, a doc_id with both labels
+    teaches both. Bags are made in tasks and written; the driver streams what training keeps of them, packed: buckets
+    that ``p.least`` texts of the sample have (a fiftieth of a small sample).
+    """
+    usable = labels.where(f"toxic in (0, 1) and doc_id is not null and not {HELD_OUT}").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     one = lambda k: usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.rows)
     chosen = written(one(1).unionByName(one(0)), "toxic-rows")  # 2 * p.rows pairs at most, hence the broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= p.longest)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
-    rows = found.mapInArrow(_bags(p), "doc_id long, toxic int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    bags, y = [], []
-    for toxic, ids, counts in zip(rows["toxic"].to_pylist(), rows["ids"], rows["counts"], strict=True):
-        ids, counts = ids.values.to_numpy(), counts.values.to_numpy()
-        if len(ids):
-            bags.append((ids, counts / counts.sum()))
-            y.append(toxic)
-    return train(bags, np.array(y, int), p)
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+    bags = written(found.mapInArrow(_bags(p), _BAGS), "toxic-bags")
+    texts_of = bags.select(F.explode("ids").alias("id")).groupBy("id").count()
+    known = np.zeros(p.buckets, bool)
+    for row in texts_of.where(F.col("count") >= min(p.least, max(1, bags.count() // 50))).select("id").toLocalIterator():
+        known[row["id"]] = True
+    packed = bags.mapInArrow(_packed(shared(docs.sparkSession, known)), _PACKED).where(F.length("ids") > 0)
+    rows = sorted(((r["doc_id"], r["toxic"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["share"], "<f4")) for r in _streamed(packed)), key=lambda r: r[:2])
+    return train([r[2:] for r in rows], np.array([r[1] for r in rows], int), p)
+
+
+def _streamed(packed: DataFrame):
+    """Row by row, one partition at a time: the driver's JVM never holds the sample."""
+    return packed.toLocalIterator(prefetchPartitions=False)
 
 
 def _scorer(table, bias: float, p: Params, text: int):
@@ -144,15 +176,13 @@ def scored(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None
     bias alone. Labels that are null or repeat with both values count as they stand.
     """
     table, bias = fit(docs if train_on is None else train_on, labels, p)
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     schema = StructType([*docs.schema.fields, StructField("__ls_score", DoubleType())])
-    return docs.mapInArrow(_scorer(shared, bias, p, docs.columns.index("text")), schema)
+    return docs.mapInArrow(_scorer(shared(docs.sparkSession, table), bias, p, docs.columns.index("text")), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None, threshold: float = 0.5, p: Params = Params()) -> DataFrame:
-    """docs, all columns, without the rows that score the threshold or more."""
+    """docs, all columns, without the rows that score the threshold or more. Each row is judged by its text alone, so null
+    and repeated doc_ids change nothing; null texts are scored like empty ones."""
     return scored(docs, labels, train_on, p).where(F.col("__ls_score") < threshold).select(docs.columns)
 
 
