@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontam, exact_dedup, mixing, shingles, toxicity
-from larkspur.llm.common import written
+from larkspur.llm import decontam, exact_dedup, mixing, simhash, toxicity
+from larkspur.llm.common import mark, release, written
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.drop_similar(docs)
+    return simhash.drop_similar(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again by the next."""
+    """All stages over documents; each is written to the shared folder and read again by the next, then its own tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage-{i}-{name.replace(' ', '-')}")
-    return docs
+    before = mark()
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{i}-{name.replace(' ', '-')}")
+        release(spark, before, keep=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
