@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op8_chat_format": chat.OP8_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_secret_scan": secrets.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op8_chat_format": chat.OP8_SQL}
