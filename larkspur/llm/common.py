@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import Broadcast
@@ -30,38 +33,51 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/larkspur-{sc.applicationId}"
 
 
-_TABLES: list[str] = []
-_BROADCASTS: list = []
+@dataclass
+class Scratch:
+    """Tables and broadcasts that some work has made beside its result."""
+
+    tables: list[str] = field(default_factory=list)
+    broadcasts: list[Broadcast] = field(default_factory=list)
+
+
+_SCOPES = [Scratch()]
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Collects what is made inside, for release() once no DataFrame needs it any more."""
+    _SCOPES.append(Scratch())
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, fixes what is not deterministic."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    _SCOPES[-1].tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared(spark: SparkSession, value) -> Broadcast:
-    """A broadcast of a value whose size has a bound; release() takes it back."""
-    _BROADCASTS.append(spark.sparkContext.broadcast(value))
-    return _BROADCASTS[-1]
-
-
-def mark() -> tuple[int, int]:
-    """What release() is to leave: tables and broadcasts made before."""
-    return len(_TABLES), len(_BROADCASTS)
+    """A broadcast of a value whose size has a bound."""
+    _SCOPES[-1].broadcasts.append(spark.sparkContext.broadcast(value))
+    return _SCOPES[-1].broadcasts[-1]
 
 
-def release(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: int = 0) -> None:
-    """Delete the tables and broadcasts made since a mark, but for the last ``keep`` tables. Only what no DataFrame needs any more."""
-    stop = len(_TABLES) - keep
-    for path in _TABLES[since[0] : stop]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+def release(spark: SparkSession, made: Scratch | None = None) -> None:
+    """Delete the tables and broadcasts of a scope, or of all work outside scopes."""
+    made = _SCOPES[0] if made is None else made
+    for table in made.tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for b in _BROADCASTS[since[1] :]:
+    for b in made.broadcasts:
         b.destroy()
-    del _TABLES[since[0] : stop], _BROADCASTS[since[1] :]
+    made.tables.clear()
+    made.broadcasts.clear()
 
 
 def bitmap(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:

@@ -7,16 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, maybe_in, shared, written
+from .common import bitmap, bitmap_array, has_bit, maybe_in, shared, written
 from .components import components
 from .tokens import NO_SPACE, mix, token_runs
 
 WIDTH, SIMILARITY = 5, 0.8
 SMALL = 16  # rows of a shingle up to which all pairs are candidates at once
-SAMPLE_ROWS, MOST_HOT = 20_000, 1 << 16  # rows looked at for, and number of, shingles that come last in the order
+EVERY, COMMON = 8, 2  # one row in EVERY is looked at for shingles that more than COMMON of them have, which come last
 
 _BUCKETS = "key long, row long, size long"
 
@@ -53,42 +53,41 @@ def _least_shared(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
+def _met(n):
+    """Of their first shingles, one of a set of n and a similar set meet in so many at least, for prefixes are as much longer."""
+    return 1 + (F.floor(n / 20) if isinstance(n, Column) else n // 20)
+
+
 def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in shingle_sets(b.column(0), width):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["key"])
+            for at in range(0, b.num_rows, 1000):
+                sets = shingle_sets(b.column(0).slice(at, 1000), width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["key"])
 
     return run
 
 
-def _hot(table: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of common shingles in a sample. They only set the order: any order gives the same links."""
-    every = max(1, table.count() // SAMPLE_ROWS)
-    some = table.where(F.pmod(F.xxhash64("__ls_row"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")))
-    top = some.mapInArrow(_sampled(width), "key long").groupBy("key").count().where("count > 3").orderBy(F.desc("count"), "key").limit(MOST_HOT).toPandas()
-    h, n = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def _hot(table: DataFrame, width: int) -> np.ndarray:
+    """A bitmap of shingles that many rows have. It only sets the order: any order gives the same links."""
+    some = table.where(F.pmod(F.xxhash64("__ls_row"), F.lit(EVERY)) == 0).select(F.coalesce("text", F.lit("")))
+    common = some.mapInArrow(_sampled(width), "key long").groupBy("key").count().where(F.col("count") > COMMON)
+    return bitmap_array(bitmap(common, F.col("key")))
 
 
 def _prefixes(hot, width: int, similarity: float):
-    """Each row under the first shingles of its set, common ones last, as many as one of must be shared by a similar set."""
+    """Each row under the first shingles of its set, common ones last: as many as a similar set must share _met of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = hot.value
         for b in batches:
-            keys, sets = [], shingle_sets(b.column(1), width)
-            for s in sets:
-                rank = np.zeros(len(s), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    rank = np.where(common[at] == s, seen[at], 0)
-                keys.append(s[np.lexsort((s, rank))[: len(s) - _least_shared(len(s), similarity) + 1]])
-            n = [len(k) for k in keys]
-            rows = np.repeat(b.column(0).to_numpy(), n)
-            sizes = np.repeat([len(s) for s in sets], n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows), pa.array(sizes.astype(np.int64))], names=["key", "row", "size"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = shingle_sets(part.column(1), width)
+                keys = [s[np.argsort(has_bit(hot.value, s), kind="stable")[: len(s) - _least_shared(len(s), similarity) + _met(len(s))]] for s in sets]
+                n = [len(k) for k in keys]
+                rows = np.repeat(part.column(0).to_numpy(), n)
+                sizes = np.repeat([len(s) for s in sets], n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows), pa.array(sizes.astype(np.int64))], names=["key", "row", "size"])
 
     return run
 
@@ -129,11 +128,11 @@ def _hubs(similarity: float, turn: int):
         band = np.floor(np.log(size) / -np.log(similarity)).astype(np.int64)
         drawn = mix(row.view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
         order = np.lexsort((drawn, band, key))
-        key, row, band, root = key[order], row[order], band[order], root[order]
+        key, row, size, band, root = key[order], row[order], size[order], band[order], root[order]
         first = np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]))[: len(key)]
         hub = np.flatnonzero(first)[np.cumsum(first) - 1]
         ok = root != root[hub]
-        return _as_pairs(row[ok], row[hub][ok])
+        return _as_pairs(row[ok], row[hub][ok], np.minimum(size[ok], size[hub][ok]))
 
     return _by_key(done)
 
@@ -144,7 +143,7 @@ def _all(similarity: float):
     def done(t: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((t[2], t[0]))
         key, row, size, root = t[:, order]
-        left, right, live, gap = [], [], np.arange(len(key)), 0
+        left, right, sizes, live, gap = [], [], [], np.arange(len(key)), 0
         while len(live):
             gap += 1
             live = live[live + gap < len(key)]
@@ -153,14 +152,24 @@ def _all(similarity: float):
             apart = live[root[live] != root[live + gap]]
             left.append(row[apart])
             right.append(row[apart + gap])
-        return _as_pairs(np.concatenate(left), np.concatenate(right))
+            sizes.append(size[apart])
+        return _as_pairs(*map(np.concatenate, (left, right, sizes)))
 
     return _by_key(done)
 
 
-def _as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+_PAIRS = "a long, b long, size long, n long"
+
+
+def _as_pairs(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """(a, b, size of the smaller set, shingles in which they have met here)."""
+    pairs, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), size], axis=1), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i].copy()) for i in range(3)), pa.array(n)], names=["a", "b", "size", "n"])
+
+
+def _often_met(pairs: DataFrame) -> DataFrame:
+    met = pairs.groupBy("a", "b").agg(F.min("size").alias("size"), F.sum("n").alias("n"))
+    return met.where(F.col("n") >= _met(F.col("size"))).select("a", "b")
 
 
 def _similar(width: int, similarity: float):
@@ -192,8 +201,8 @@ def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMI
     """(a, b): ``known`` links and pairs of __ls_row whose shingle sets have a Jaccard similarity of at least ``similarity``, enough of them to
     connect all that have.
 
-    In one order of all shingles, similar sets share one of their first few, so rows meet under those. Common shingles
-    come last in that order, so a passage that many texts share is not where they meet. Groups of near copies would make
+    In one order of all shingles, similar sets share some of their first, so rows meet under those, and pairs that meet in
+    fewer are no pairs. Common shingles come last in that order, so a passage that many texts share is not where they meet. Groups of near copies would make
     pairs with the square of their size: rows of a large bucket are first compared with one of them, drawn anew each turn,
     as long as that connects many; then all pairs that are not connected yet are compared. Nothing is left out.
     """
@@ -205,7 +214,7 @@ def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMI
     roots, turn, rows = None if known is None else components(known), 0, large.select("row").distinct().count()
     while rows:
         turn += 1
-        pairs = _rooted(large, roots).mapInArrow(_hubs(similarity, turn), "a long, b long")
+        pairs = _often_met(_rooted(large, roots).mapInArrow(_hubs(similarity, turn), _PAIRS))
         found.append(verified(pairs, table, width, similarity))
         if found[-1].isEmpty():
             break
@@ -215,7 +224,7 @@ def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMI
         rows -= merged
         if merged * 10 < rows:
             break
-    pairs = _rooted(buckets, roots).mapInArrow(_all(similarity), "a long, b long")
+    pairs = _often_met(_rooted(buckets, roots).mapInArrow(_all(similarity), _PAIRS))
     found.append(verified(pairs, table, width, similarity))
     return _union(found)
 
