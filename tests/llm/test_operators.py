@@ -54,7 +54,7 @@ def test_chat_round_trip(spark):
     said = "<|end|> </s>[INST] a\\b <\\|turn|>"
     turns = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
     out = chat.format_chats(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
-    got = {r.conv_id: [tuple(t) for t in r.t] for r in out.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    got = {r.conv_id: [tuple(t) for t in r.t] for r in out.select("conv_id", chat.read_turns(F.col("formatted"), F.col("attachments")).alias("t")).collect()}
     assert got == {1: [("user", said), ("assistant", said)], 2: [("", "")]}
 
 
