@@ -20,6 +20,13 @@ TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "GPL-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
@@ -48,11 +55,54 @@ TEMPLATES = {
         "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
         "License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
     ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General "
+        "Public License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General "
+        "Public License for more details."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        'and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-3-Clause": (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
 }
+#: Words that tell a template from another much like it; a place must have them all.
+TELLING = {
+    "Apache-2.0-line": "apache 2 0",
+    "MIT-line": "mit",
+    "GPL-line": "general 3",
+    "CC-BY-NC-line": "nc",
+    "CC-BY-line": "attribution",
+    "CC-BY-SA-line": "sharealike",
+    "SPDX-MIT": "spdx mit",
+    "SPDX-Apache-2.0": "spdx apache 2 0",
+    "SPDX-BSD-3-Clause": "spdx bsd 3",
+    "SPDX-GPL-3.0-or-later": "spdx gpl 3 later",
+    "GPL-3.0-or-later": "3",
+    "LGPL-2.1-or-later": "lesser",
+    "AGPL-3.0-or-later": "affero",
+}
 LEAST = 0.8  # of a template's words in order
 GAP = 12  # words between two words of a template that still belong to one place
 
@@ -104,9 +154,10 @@ def _longest_run(values: list[int]) -> list[int]:
 
 
 class Templates:
-    def __init__(self, texts: dict[str, str], least: float) -> None:
+    def __init__(self, texts: dict[str, str], least: float, telling: dict[str, str] | None = None) -> None:
         self.names, self.least = list(texts), least
         self.words = [next(token_runs(pa.array([t])))[1] for t in texts.values()]
+        self.telling = [next(token_runs(pa.array([(telling or {}).get(n, "")])))[1] for n in self.names]
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.times = np.stack([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words], axis=1)
 
@@ -130,23 +181,53 @@ class Templates:
                 yield int(rows[lo]), t, lo + a - int(first[rows[lo]]), lo + b - int(first[rows[lo]]), n
 
     def _split(self, text: np.ndarray, t: int) -> Iterator[tuple[int, int, int]]:
-        """Alignments in a place; one that may hold a notice more than once is looked at around each copy of its rarest word."""
-        own = self.words[t]
-        need = self.least * len(own)
+        """Alignments in a place. In a long one they are tried where a notice can stand.
+
+        A notice lacks a fifth of its words at most, so of any positions of the template that are one more than that, it has
+        one. The positions whose words are rarest in the place are looked up, words that don't occur first; each occurrence
+        says where a notice around it would start. Starts that lie close together are one try.
+        """
+        own, telling = self.words[t], self.telling[t]
+        need, m = self.least * len(own), len(own)
+        room = m // 4 + 2
         spans = [(0, len(text))]
-        seen = Counter(text.tolist())
-        rare = min((w for w in own.tolist() if w in seen), key=lambda w: (seen[w], w), default=None)
-        if len(text) > 2 * len(own) or rare is not None and seen[rare] > 1:
-            room, j = len(own) // 4 + 2, own.tolist().index(rare)
-            spans = [(max(0, i - j - room), min(len(text), i + len(own) - j + room)) for i in np.flatnonzero(text == rare).tolist()]
+        if len(text) > m + 2 * room or len(text) > m and self._twice(text, own):
+            spans = self._tries(text, own, m - int(np.ceil(need - 1e-9)) + 1, room)
         done = 0
         for a, b in spans:
             a = max(a, done)
-            if a < b and (n := align(text[a:b].tolist(), own.tolist())) >= need:
+            if b - a < need or not np.isin(telling, text[a:b]).all():
+                continue
+            if (n := align(text[a:b].tolist(), own.tolist())) >= need:
                 mine = np.flatnonzero(np.isin(text[a:b], own))
                 a, b = a + int(mine[0]), a + int(mine[-1]) + 1
-                yield a, min(b, a + len(own) + len(own) // 4), n
-                done = min(b, a + len(own))
+                yield a, min(b, a + m + room), n
+                done = min(b, a + m)
+
+    @staticmethod
+    def _twice(text: np.ndarray, own: np.ndarray) -> bool:
+        once = np.unique(own)
+        return bool((np.bincount(np.searchsorted(once, text[np.isin(text, once)]), minlength=len(once)) > 1).all())
+
+    def _tries(self, text: np.ndarray, own: np.ndarray, k: int, room: int) -> list[tuple[int, int]]:
+        words, at = np.unique(own, return_inverse=True)
+        hit = np.flatnonzero(np.isin(text, words))
+        of = np.searchsorted(words, text[hit])
+        times = np.bincount(of, minlength=len(words))
+        starts = [np.empty(0, np.int64)]
+        for j in np.argsort(times[at], kind="stable")[:k].tolist():
+            starts.append(hit[of == at[j]] - j)
+        starts = np.unique(np.concatenate(starts))
+        mine = np.zeros(len(text) + 1, np.int64)
+        mine[hit + 1] = 1
+        mine, out, i = np.cumsum(mine), [], 0
+        while i < len(starts):
+            last = int(np.searchsorted(starts, starts[i] + room // 2, "right"))
+            a, b = max(0, int(starts[i]) - room), min(len(text), int(starts[last - 1]) + len(own) + room)
+            if mine[b] - mine[a] >= self.least * len(own):
+                out.append((a, b))
+            i = last
+        return out
 
 
 OUT = "doc_id long, license string, coverage double, matched long, start long, end long, copies long"
@@ -170,14 +251,14 @@ def _scan(sent):
     return run
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, telling: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, coverage, matched, start, end, copies): the best place of each template a document has, and how many.
 
     Words are runs of letters and digits, A-Z as a-z; places are in words. Every whole text is read where it lies and nothing
-    is shuffled. Words in templates mark places; a place whose words could cover ``least`` of a template is aligned with it.
-    Null and empty texts have no license, a null doc_id stays null, repeated rows are reported each.
+    is shuffled. Words in templates mark places; a place whose words could cover ``least`` of a template is aligned with it
+    (a long one wherever a notice can stand in it), and counts if it has the words of ``telling``. Null and empty texts have no license, a null doc_id stays null, repeated rows are reported each.
     """
-    sent = shared(docs.sparkSession, Templates(templates or TEMPLATES, least))
+    sent = shared(docs.sparkSession, Templates(templates or TEMPLATES, least, telling if templates else TELLING))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scan(sent), OUT)
 
 
