@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ MASKS = ("1101100111", "1100111011", "10111000111", "1100000010111", "1111101")
 MIN_OVERLAP = 13  # words that an overlap spans at least, or all words of a shorter item
 SIMILARITY = 0.8  # of them agree at least
 BLOCK_TOKENS = 1 << 20  # words of benchmark items looked for in one pass over the documents
+HITS = 1 << 20  # hits looked at together
 _PROBE_BITS = 24
 
 OUT = "doc_id long, item_id long, doc_start long, item_start long, overlap long, mismatches long"
@@ -75,19 +76,29 @@ class Items:
     def overlaps(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(row, item, start in its text, start in item, words, mismatches): the best overlap of each text and item."""
         first = np.searchsorted(rows, np.arange(int(rows[-1]) + 2 if len(rows) else 1), "left")
-        diagonals = []
+        diagonals = np.empty(0, np.int64)
+        span = 2 * max(len(words), *map(len, self.words)) + 1
         for j in range(len(self.masks)):
             h, where = self.seeds(j, words, rows)
             near = self.probe[(h >> np.uint64(64 - _PROBE_BITS)).astype(np.int64)]
             h, where = h[near], where[near]
             lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
             n = hi - lo
-            hit = np.repeat(lo - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
-            at = np.repeat(where, n)
-            diagonals.append(np.stack([rows[at], self.item[hit], at - first[rows[at]] - self.pos[hit]], axis=1))
+            done = np.append(0, np.cumsum(n))
+            # A phrase that text and item repeat gives many hits on few diagonals: some hits at a time, diagonals once.
+            cuts = [*np.searchsorted(done, np.arange(0, int(done[-1]), HITS), "left").tolist(), len(n)]
+            for a, b in pairwise(cuts):
+                hit = np.repeat(lo[a:b] - done[a:b] + done[a], n[a:b]) + np.arange(int(done[b] - done[a]))
+                at = np.repeat(where[a:b], n[a:b])
+                shift = at - first[rows[at]] - self.pos[hit] + span // 2
+                diagonals = np.union1d(diagonals, (rows[at] * len(self.words) + self.item[hit]) * span + shift)
         best: dict[tuple[int, int], tuple] = {}
-        for row, item, shift in np.unique(np.concatenate(diagonals), axis=0).tolist():
+        for d in diagonals.tolist():
+            d, shift = divmod(d, span)
+            (row, item), shift = divmod(d, len(self.words)), shift - span // 2
             text, own = words[first[row] : first[row + 1]], self.words[item]
+            if best.get((row, item), (0,))[0] == len(own):
+                continue
             a, b = max(0, -shift), min(len(own), len(text) - shift)
             same = own[a:b] == text[a + shift : b + shift]
             start, size = _segment(same)
@@ -161,7 +172,10 @@ def _search(docs: DataFrame, items: Items):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs, all columns, without the rows that have a passage of an item. Nothing is shuffled."""
+    """docs, all columns, without the rows that have a passage of an item. Nothing is shuffled.
+
+    Each row is judged by its text alone: null and repeated doc_ids change nothing, null and empty texts stay.
+    """
     for items in _blocks(benchmark, block_tokens):
         docs = docs.mapInArrow(_clean(docs, items, docs.columns.index("text")), docs.schema)
     return docs
