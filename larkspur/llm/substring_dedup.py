@@ -99,31 +99,54 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
 
 
 _ANCHOR = ["g", "c", "doc", "tie", "pos"]
+_HELD = 1 << 19  # anchors that a task compares with each other before they are shuffled
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors, of equal contexts that a task holds together the first alone; the others are covered whatever comes."""
     held, n = [], 0
     for doc, tie, text in _texts(batches):
         for p in _pieces(text):
             m = len(p.first)
             held.append((p.g[p.first], p.c[p.first], np.full(m, doc, np.int64), np.full(m, tie, np.int32), p.pos[p.first].astype(np.int32)))
             n += m
-            if n > 50_000:
-                yield _batch(_ANCHOR, [np.concatenate(x) for x in zip(*held, strict=True)])
+            if n > _HELD:
+                yield from _combined(held)
                 held, n = [], 0
     if held:
-        yield _batch(_ANCHOR, [np.concatenate(x) for x in zip(*held, strict=True)])
+        yield from _combined(held)
+
+
+def _combined(held: list) -> Iterator[pa.RecordBatch]:
+    g, c, doc, tie, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    key = mix(g.view(np.uint64) * _M[0] ^ c.view(np.uint64))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    some = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+    some = some[np.lexsort((pos[some], tie[some], doc[some], c[some], g[some]))]
+    new = np.append(True, (g[some][1:] != g[some][:-1]) | (c[some][1:] != c[some][:-1]))[: len(some)]
+    first = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
+    covered = np.zeros(len(g), bool)
+    covered[some] = (doc[some] != doc[first]) | (tie[some] != tie[first]) | (pos[some] != pos[first])
+    for at in range(0, len(g), 50_000):
+        yield _batch([*_ANCHOR, "covered"], [x[at : at + 50_000] for x in (g, c, doc, tie, pos, covered)])
 
 
 _MARK = ["g", "id", "doc", "tie", "pos"]
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by g, c, doc, tie, pos: all but the first of equal contexts (id null), and the first of each
+    """From anchors sorted by g, c, doc, tie, pos: those covered already, all but the first of equal contexts (id null), and the first of each
     context where an anchor has several (id set). Carries one row over, however many an anchor has."""
     last = None  # the first row of the current context and the number of that context within its anchor
     for b in batches:
+        covered = b.column(5).to_numpy(zero_copy_only=False)
         cols = [b.column(i).to_numpy() for i in range(5)]
+        gone = [x[covered] for x in cols]
+        yield _batch(_MARK, [gone[0], pa.nulls(len(gone[0]), pa.int64()), *gone[2:]])
+        cols = [x[~covered] for x in cols]
+        if not len(cols[0]):
+            continue
         if last is not None:
             cols = [np.concatenate([np.array([v], c.dtype), c]) for v, c in zip(last[0], cols, strict=True)]
         g, c = cols[0], cols[1]
@@ -289,7 +312,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc, tie, start, end): byte spans of docs(doc, tie, text) that 100-byte strings cover which also start earlier.
 
     Suffixes of all texts can't meet in one array, so texts are cut to shards first. Every string has an anchor, the least
-    40-byte gram in it, wherever it stands. Anchors and hashes of their contexts (the bytes that strings around them reach)
+    40-byte gram in it, wherever it stands. Equal contexts collapse in their tasks, then anchors and hashes of their contexts (the bytes that strings around them reach)
     are shuffled and sorted: contexts after the first of equal ones are covered whole. What is left to compare are the first
     ones where an anchor has several. Their bytes are fetched by a second scan, which finds them by a bitmap of fixed size,
     and go to shards by anchor, where suffix arrays by induced sorting and permuted common prefixes give the repeated
@@ -297,8 +320,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     documents) have their strings hashed and grouped, copies combined before the shuffle. What a text repeats of itself is
     found where it lies.
     """
-    anchors = docs.mapInArrow(_anchors, "g long, c long, doc long, tie int, pos int")
-    marks = written(anchors.repartition("g").sortWithinPartitions(*_ANCHOR).mapInArrow(_marks, "g long, id long, doc long, tie int, pos int"), "anchors")
+    anchors = docs.mapInArrow(_anchors, "g long, c long, doc long, tie int, pos int, covered boolean")
+    spread = F.when(F.col("covered"), F.xxhash64("doc", "tie", "pos")).otherwise(F.col("g"))  # covered ones go anywhere
+    marks = written(anchors.repartition(spread).sortWithinPartitions(*_ANCHOR).mapInArrow(_marks, "g long, id long, doc long, tie int, pos int"), "anchors")
     reps = marks.where("id is not null")
     wanted = bitmap_array(bitmap(reps, F.col("id")))
     hot = bitmap_array(bitmap(reps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), F.col("g"), _HOT_BITS), _HOT_BITS)
