@@ -103,3 +103,22 @@ def body_from_face(face: Box, width: int, height: int) -> list[Column]:
 
 def track_id(chunk: Column, obj: Column) -> Column:
     return chunk * 100_000 + obj
+
+
+def scaled(b: Box, size: tuple[int, int], to: tuple[int, int]) -> tuple[list[Column], list[Column]]:
+    """((x1, x2), (y1, y2)) of a box when an image of (height, width) becomes another; each axis has its own factor."""
+    sx, sy = F.lit(to[1] / size[1]), F.lit(to[0] / size[0])
+    return [b[0] * sx, b[2] * sx], [b[1] * sy, b[3] * sy]
+
+
+def person_crop(b: Box, image: tuple[int, int], canvas: tuple[int, int], share: float = 0.8) -> list[Column]:
+    """(scale, new_w, new_h, left, top, sx0, sy0, sx1, sy1): the image scaled so that the box's height is a share of the canvas
+    (width, height), the canvas' corner in it with the box's centre in the middle, and what of the scaled image it shows."""
+    whole = lambda c: F.bround(c).cast("long")
+    (w, h), (cw, ch) = image, canvas
+    scale = F.lit(share * ch) / F.greatest(F.lit(1.0), (b[3] - b[1]).cast("double"))
+    new_w, new_h = F.greatest(F.lit(1).cast("long"), whole(F.lit(float(w)) * scale)), F.greatest(F.lit(1).cast("long"), whole(F.lit(float(h)) * scale))
+    cx, cy = centre(b)
+    left, top = whole(cx * scale - F.lit(cw / 2.0)), whole(cy * scale - F.lit(ch / 2.0))
+    zero = F.lit(0).cast("long")
+    return [scale, new_w, new_h, left, top, F.greatest(zero, left), F.greatest(zero, top), F.least(new_w, left + cw), F.least(new_h, top + ch)]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry, records, sequences, stateful, tracks, vectors
+from . import cache, evidence, geometry, records, sequences, silhouettes, stateful, tracks, vectors
 
-_MODULES = (vectors, geometry, sequences, tracks, records, stateful)
+_MODULES = (vectors, geometry, sequences, tracks, records, evidence, cache, silhouettes, stateful)
 
 
 def queries() -> dict:

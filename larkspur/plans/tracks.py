@@ -24,13 +24,6 @@ def q_p22_confirmed_ids(spark, sf_dir):
     return bridge.matched(spark, sf_dir).groupBy("video_id", "gid").agg(F.bool_or(ok).alias("ok"), F.count(F.lit(1)).alias("n")).where("ok").select("video_id", "gid", "n")
 
 
-def q_a18_duplicate_holders(spark, sf_dir):
-    """Identities that several objects of a frame hold, and the one that stays: highest score, then lowest object."""
-    m = bridge.matched(spark, sf_dir)
-    g = m.groupBy(*KEY, "gid").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", (-F.col("obj_id")).alias("neg"))).alias("a")).where("n > 1")
-    return g.select(*KEY, "gid", "n", (-F.col("a.neg")).alias("anchor_obj"))
-
-
 def q_j20_free_ids(spark, sf_dir):
     """Gallery identities that nobody in the video has been confirmed as."""
     m = bridge.matched(spark, sf_dir)
@@ -72,12 +65,6 @@ def q_u2_absent_objects(spark, sf_dir):
     return o.join(o.select("video_id", "obj_id", (F.col("chunk_id") - 1).alias("chunk_id")), ["video_id", "obj_id", "chunk_id"], "left_anti")
 
 
-def q_a16_trace_summary(spark, sf_dir):
-    m = bridge.matched(spark, sf_dir)
-    c = lambda cond, name: F.count_if(cond).alias(name)
-    return m.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows"), c(F.col("score") >= 0.5, "confident"), c(F.col("mask_source") == "cached", "cached"), c(F.col("gid") == 0, "first_gid"), F.round(F.avg("score"), 6).alias("mean_score"))
-
-
 def q_k7_pending_windows(spark, sf_dir):
     """Planned windows that are not done yet; every third is."""
     plan = sequence.planned(sequence.segmented(bridge.detections(spark, sf_dir), ["video_id", "obj_id"], 48), ["video_id", "obj_id"])
@@ -115,15 +102,6 @@ def q_f35_content_key(spark, sf_dir):
     return g.select("gid", F.sha2(F.array_join("lines", "\n"), 256).alias("content_key"))
 
 
-def q_a5_challenger(spark, sf_dir):
-    """The best score of other objects with the same identity in a frame: two maxima give it without a self join."""
-    m = bridge.matched(spark, sf_dir).select(*KEY, "gid", "obj_id", "score")
-    w = Window.partitionBy(*KEY, "gid").orderBy(F.desc("score"), "obj_id")
-    every = Window.partitionBy(*KEY, "gid")
-    r = m.withColumn("rn", F.row_number().over(w)).withColumn("first", F.max("score").over(every)).withColumn("second", F.max(F.when(F.col("rn") == 2, F.col("score"))).over(every))
-    return r.select(*KEY, "gid", "obj_id", F.when(F.col("rn") == 1, F.col("second")).otherwise(F.col("first")).alias("challenger"))
-
-
 def q_p26_visible_joints(spark, sf_dir):
     """Joints below 0.3 count as unseen; the score is the mean of all, and a body needs two of joints 5, 6, 11, 12."""
     j = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: ((F.col("k") + i * 7) % 100) / 100.0)
@@ -142,21 +120,18 @@ SQL = {
  q AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'FailNone' WHEN mask_source = 'detection' AND score < 0.5 THEN 'FailScore' WHEN ratio < 0.2 AND NOT (mask_source = 'detection' AND score >= 0.85) THEN 'FailRatio' ELSE 'Pass' END AS kind FROM r)
 SELECT event_id, kind, round(CASE kind WHEN 'FailScore' THEN score WHEN 'FailRatio' THEN ratio END, 6) AS value, CASE kind WHEN 'FailScore' THEN 0.5::DOUBLE WHEN 'FailRatio' THEN 0.2::DOUBLE END AS floor FROM q""",
     "q_p22_confirmed_ids": f"WITH {DET_SQL} SELECT video_id, gid, count(*) AS n FROM mat GROUP BY video_id, gid HAVING bool_or(score >= 0.97 OR event_id % 500 = 0)",
-    "q_a18_duplicate_holders": f"WITH {DET_SQL} SELECT video_id, frame_idx, gid, count(*) OVER w AS n, obj_id AS anchor_obj FROM mat WINDOW w AS (PARTITION BY video_id, frame_idx, gid) QUALIFY n > 1 AND row_number() OVER (PARTITION BY video_id, frame_idx, gid ORDER BY score DESC, obj_id) = 1",
     "q_j20_free_ids": f"WITH {DET_SQL} SELECT DISTINCT v.video_id, CAST(e.label AS BIGINT) AS gid FROM (SELECT DISTINCT video_id FROM mat) v, embeddings e WHERE NOT EXISTS (SELECT 1 FROM mat m WHERE m.video_id = v.video_id AND m.gid = e.label AND score >= 0.97)",
     "q_j23_overrides": f"WITH {DET_SQL} SELECT video_id, frame_idx, obj_id, CASE WHEN event_id % 50 = 0 AND k % 2 = 0 THEN vec_id % 10 ELSE gid END AS gid, event_id % 50 = 0 AND k % 2 = 0 AS operator_assigned FROM mat",
     "q_p25_mapping_errors": f"""WITH {DET_SQL}, o AS (SELECT DISTINCT video_id, obj_id, vec_id % 13 AS gid FROM mat WHERE event_id % 50 = 0 AND k % 2 = 0)
 SELECT video_id, gid, 'duplicate' AS error FROM o GROUP BY video_id, gid HAVING count(*) > 1 UNION ALL SELECT DISTINCT video_id, gid, 'unknown' FROM o WHERE gid NOT IN (SELECT label FROM embeddings)""",
     "q_a17_last_seen": f"WITH {DET_SQL} SELECT video_id, frame_idx // 25 AS chunk_id, obj_id, frame_idx FROM det QUALIFY frame_idx = max(frame_idx) OVER (PARTITION BY video_id, frame_idx // 25)",
     "q_u2_absent_objects": f"WITH {DET_SQL} SELECT DISTINCT video_id, obj_id, frame_idx // 25 AS chunk_id FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.video_id = a.video_id AND b.obj_id = a.obj_id AND b.frame_idx // 25 = a.frame_idx // 25 + 1)",
-    "q_a16_trace_summary": f"WITH {DET_SQL} SELECT video_id, count(*) AS rows, count(*) FILTER (score >= 0.5) AS confident, count(*) FILTER (mask_source = 'cached') AS cached, count(*) FILTER (gid = 0) AS first_gid, round(avg(score), 6) AS mean_score FROM mat GROUP BY video_id",
     "q_k7_pending_windows": f"WITH {DET_SQL}, {_SEG}, {_WIN} SELECT * FROM win WHERE (video_id + obj_id + window_idx) % 3 <> 0",
     "q_s9_gallery_ids": "SELECT n_name AS name, dense_rank() OVER (ORDER BY n_name) - 1 AS gid FROM nation",
     "q_s15_prompts": "SELECT g.gid, CASE WHEN r_name IS NULL OR g.gid = 1 THEN 'a person' ELSE r_name END AS prompt FROM (SELECT dense_rank() OVER (ORDER BY n_name) - 1 AS gid FROM nation) g LEFT JOIN region ON r_regionkey = g.gid",
     "q_f28_captions": f"WITH {DET_SQL} SELECT event_id, '#' || obj_id || CASE WHEN gid > 0 THEN ' id' || lpad(CAST(gid AS VARCHAR), 3, '0') ELSE '' END || ' ' || (k + 1) || '%' AS caption FROM mat",
     "q_f34_config_hash": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, substr(sha1('{"brand":"' || p_brand || '","size":"' || p_size || '"}'), 1, 8) AS name FROM part""",
     "q_f35_content_key": "SELECT CAST(s_nationkey AS BIGINT) AS gid, sha256(string_agg(s_name || '|' || s_suppkey, chr(10) ORDER BY s_name || '|' || s_suppkey)) AS content_key FROM supplier GROUP BY s_nationkey",
-    "q_a5_challenger": f"WITH {DET_SQL} SELECT a.video_id, a.frame_idx, a.gid, a.obj_id, max(b.score) AS challenger FROM mat a LEFT JOIN mat b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.gid = b.gid AND a.obj_id <> b.obj_id GROUP BY ALL",
     "q_p26_visible_joints": f"""WITH {DET_SQL}, j AS (SELECT event_id, i, CAST((k + i * 7) % 100 AS DOUBLE) / 100 AS c FROM det, generate_series(0, 16) t(i))
 SELECT event_id, round(sum(CASE WHEN c >= 0.3::DOUBLE THEN c ELSE 0 END) / 17, 6) AS score, count(*) FILTER (i IN (5, 6, 11, 12) AND c > 0.3::DOUBLE) >= 2 AS has_body FROM j GROUP BY event_id""",
 }
