@@ -11,7 +11,11 @@ from ..functions.assign import INFEASIBLE, greedy, solve
 from ..functions.pool import Pool
 from .fold import ordered_fold
 
-OUT = "video_id long, chunk_id long, frame_idx long, obj_id long, gid long, path string, sim double, second_sim double, abstained string, demoted boolean"
+OUT = (
+    "video_id long, chunk_id long, frame_idx long, obj_id long, gid long, path string, sim double, second_sim double, abstained string, demoted boolean, "
+    "track_id long, track_age long, gid_prev long, gid_changed boolean, had_face boolean, face_weight double, body_weight double, low_streak long, n_identities long, "
+    "face_pool long, body_pool long, write_blocked string"
+)
 
 
 @dataclass(frozen=True)
@@ -35,9 +39,16 @@ class Params:
     stale: int = 5
     speed: float = 100.0
     warm_cap: int = 10
+    warm_body_cap: int = 20
     warm_anchors: int = 3
     warm_dedup: float = 0.95
     warm_floor: float = 0.5
+    warm_only: bool = False  # bodies match by the pool alone, once it holds min_warm views
+    min_warm: int = 3
+    min_face_score: float = 0.6
+    trust: int = 30  # frames after an admitted face in which a body may enter the pool
+    sane_iou: float = 0.2
+    sane_jump: float = 150.0  # pixels between frames
 
 
 def _unit(v) -> np.ndarray:
@@ -57,7 +68,9 @@ class Binding:
     """What is known of one object: evidence sums, streaks and the identities it may not take again."""
 
     box: tuple = ()
+    before: tuple = ()
     seen: int = -1
+    first: int = -1
     frames: int = 0
     gid: int = -1
     path: str = ""
@@ -69,6 +82,8 @@ class Binding:
     n_body: int = 0
     low: int = 0
     lost: int = 0
+    last_face: int | None = None  # the frame of the last face admitted to a pool
+    prev: int | None = None
     blocked: set = field(default_factory=set)
 
     def mean(self, kind: str) -> np.ndarray | None:
@@ -108,27 +123,35 @@ class Resolver:
             self._revive(boxes, frame)
         demoted: set[int] = set()
         samples: dict[int, np.ndarray] = {}
+        bodies: dict[int, np.ndarray] = {}
         for r in rows:
             b = self.live.setdefault(r["obj_id"], Binding())
-            b.box = boxes[r["obj_id"]]
+            b.before, b.box = b.box, boxes[r["obj_id"]]
+            b.first = frame if b.first < 0 else b.first
             if r.get("set_gid") is not None:
                 b.gid, b.path, b.operator = r["set_gid"], "operator", True
             if b.frames % self.p.cadence == 0:
-                self._observe(b, r, samples)
+                self._observe(b, r, samples, bodies)
             b.frames, b.seen = b.frames + 1, frame
         here = [r["obj_id"] for r in rows]
-        self._streaks(here, samples, demoted)
+        self._streaks(here, samples, bodies, demoted)
         reasons = self._confirm(here, frame)
         self._unique(here, demoted)
-        for o in here:
+        refused: dict[int, str] = {}
+        for r in rows:
+            o = r["obj_id"]
             b = self.live[o]
             if b.gid >= 0:
                 self.last_seen[b.gid] = (frame, (b.box[0] + b.box[2]) / 2, (b.box[1] + b.box[3]) / 2)
-                self._remember(b, samples.get(o))
-        return [self._row(r, reasons, demoted) for r in rows]
+                insane = self._insane(o, here) if b.operator else None
+                if insane and (o in samples or o in bodies):
+                    refused[o] = insane
+                self._remember(b, samples.get(o), bodies.get(o), r.get("face_score") or 0.0, frame, insane)
+        return [self._row(r, reasons, demoted, refused, samples) for r in rows]
 
-    def _row(self, r: dict, reasons: dict, demoted: set) -> dict:
+    def _row(self, r: dict, reasons: dict, demoted: set, refused: dict, samples: dict) -> dict:
         b = self.live[r["obj_id"]]
+        prev, b.prev = b.prev, b.gid
         kind = "face" if b.n_face else "body"
         mean = b.mean(kind)
         sims = self.centroids @ mean if mean is not None and b.gid in self.gids else None
@@ -137,20 +160,26 @@ class Resolver:
         return {
             "video_id": r["video_id"], "chunk_id": r["chunk_id"], "frame_idx": r["frame_idx"], "obj_id": r["obj_id"], "gid": b.gid, "path": b.path or None,
             "sim": float(sims[own]) if sims is not None else None, "second_sim": float(others.max()) if len(others) else None,
-            "abstained": reasons.get(r["obj_id"]), "demoted": r["obj_id"] in demoted,
+            "abstained": reasons.get(r["obj_id"]), "demoted": r["obj_id"] in demoted, "track_id": r["chunk_id"] * 100_000 + r["obj_id"], "track_age": r["frame_idx"] - b.first, "gid_prev": prev,
+            "gid_changed": prev is not None and prev != b.gid, "had_face": r["obj_id"] in samples, "face_weight": float(b.face_weight), "body_weight": float(b.n_body), "low_streak": b.low,
+            "n_identities": len(self.gids), "face_pool": self._pool_size(b.gid, "face"), "body_pool": self._pool_size(b.gid, "body"), "write_blocked": refused.get(r["obj_id"]),
         }
 
-    def _observe(self, b: Binding, r: dict, samples: dict) -> None:
+    def _pool_size(self, gid: int, kind: str) -> int:
+        return len(self.pools[gid, kind].vectors) if (gid, kind) in self.pools else 0
+
+    def _observe(self, b: Binding, r: dict, samples: dict, bodies: dict) -> None:
         if r.get("face") is not None and (r.get("face_quality") or 0) > 0:
             e, q = _unit(r["face"]), r["face_quality"]
             mean = b.mean("face")
-            if mean is not None and (r.get("face_score") or 0) >= self.p.consistency_score and float(mean @ e) < self.p.consistency:
+            if mean is not None and b.n_face >= 2 and (r.get("face_score") or 0) >= self.p.consistency_score and float(mean @ e) < self.p.consistency:
                 b.face, b.face_weight, b.n_face = 0.0, 0.0, 0
             else:
                 b.face, b.face_weight, b.n_face = b.face + e * q, b.face_weight + q, b.n_face + 1
             samples[r["obj_id"]] = e
         if r.get("body") is not None and any(r["body"]):
-            b.body, b.n_body = b.body + _unit(r["body"]), b.n_body + 1
+            bodies[r["obj_id"]] = e = _unit(r["body"])
+            b.body, b.n_body = b.body + e, b.n_body + 1
 
     def _revive(self, boxes: dict, frame: int) -> None:
         """Objects that have just vanished lend their state to new ones where they were, best overlap first."""
@@ -180,7 +209,7 @@ class Resolver:
                     self.handed[j].low = 0
         self.handed = []
 
-    def _streaks(self, here: list[int], samples: dict, demoted: set) -> None:
+    def _streaks(self, here: list[int], samples: dict, bodies: dict, demoted: set) -> None:
         held = [o for o in here if self.live[o].gid in self.gids and not self.live[o].operator]
         for o in held:
             b = self.live[o]
@@ -190,9 +219,9 @@ class Resolver:
                 mean = b.mean("face")
                 backed = mean is not None and (int((self.centroids @ mean).argmax()) == own or float(self.centroids[own] @ mean) >= self.p.low_face)
                 b.low = b.low + 1 if int(sims.argmax()) != own and sims[own] < self.p.low_face and not backed else 0
-            if not b.n_face and b.n_body:
-                rivals = [float(self.centroids[own] @ self.live[c].mean("body")) for c in here if self.live[c].gid < 0 and self.live[c].n_body]
-                lost = rivals and max(rivals) - float(self.centroids[own] @ b.mean("body")) > self.p.column_margin
+            if not b.n_face and o in bodies:
+                rivals = [float(self.centroids[own] @ bodies[c]) for c in here if self.live[c].gid < 0 and c in bodies]
+                lost = rivals and max(rivals) - float(self.centroids[own] @ bodies[o]) > self.p.column_margin
                 b.lost = b.lost + 1 if lost else 0
             if max(b.low, b.lost) >= self.p.streak:
                 b.demote()
@@ -205,7 +234,9 @@ class Resolver:
         best = kpl.copy()
         for i, g in enumerate(self.gids):
             warm = self.pools[g, kind].best(mean) if (g, kind) in self.pools else None
-            if warm is not None and warm > kpl[i]:
+            if kind == "body" and self.p.warm_only:
+                best[i] = warm if warm is not None and self._pool_size(g, kind) >= self.p.min_warm and warm >= self.p.warm_floor else -INFEASIBLE
+            elif warm is not None and warm > kpl[i]:
                 best[i] = warm if warm >= self.p.warm_floor else -INFEASIBLE
         return kpl, best
 
@@ -227,7 +258,7 @@ class Resolver:
             if cost[r, c] >= INFEASIBLE:
                 continue
             o, i = ready[r], free[c]
-            reason = self._refused(self.live[o], kinds[o], sims[o], i, frame)
+            reason = self._refused(self.live[o], kinds[o], sims[o], i, free, frame)
             if reason is None:
                 b = self.live[o]
                 b.gid, b.path, b.low, b.lost = self.gids[i], kinds[o], 0, 0
@@ -236,14 +267,14 @@ class Resolver:
                 why[o] = reason
         return why
 
-    def _refused(self, b: Binding, kind: str, sims: tuple, i: int, frame: int) -> str | None:
+    def _refused(self, b: Binding, kind: str, sims: tuple, i: int, free: list[int], frame: int) -> str | None:
+        """Why a match is not confirmed. The runner-up is the best of the identities that are free; looks are compared with all."""
         kpl, best = sims
-        others = np.delete(best, i)
-        second = float(others.max()) if len(others) else -np.inf
+        second = max((float(best[j]) for j in free if j != i), default=-np.inf)
         if kind == "face":
             if best[i] < self.p.face_floor:
                 return "gate"
-            if kpl[i] < self.p.low_face:
+            if kpl[i] < self.p.face_floor:
                 return "kpl_disagree"
         elif best[i] < self.p.body_floor or best[i] - second < self.p.margin:
             return "gate"
@@ -272,11 +303,30 @@ class Resolver:
                         self.live[o].demote()
                         demoted.add(o)
 
-    def _remember(self, b: Binding, sample: np.ndarray | None) -> None:
-        if sample is None or b.low or b.gid not in self.gids or float(self.centroids[self.gids.index(b.gid)] @ sample) < self.p.face_floor:
+    def _insane(self, o: int, here: list[int]) -> str | None:
+        """Why an operator's object may be another than it was: it overlaps with a neighbour, or has jumped."""
+        b = self.live[o]
+        if any(c != o and _iou(b.box, self.live[c].box) > self.p.sane_iou for c in here):
+            return "iou_overlap"
+        if b.before and np.hypot(sum(b.box[::2]) - sum(b.before[::2]), sum(b.box[1::2]) - sum(b.before[1::2])) / 2 > self.p.sane_jump:
+            return "bbox_jump"
+        return None
+
+    def _remember(self, b: Binding, face: np.ndarray | None, body: np.ndarray | None, score: float, frame: int, insane: str | None) -> None:
+        """What may enter the pools of an object's identity: sure faces that look like it, and bodies of which a face has told lately."""
+        if b.low or insane or b.gid not in self.gids:
             return
-        pool = self.pools.setdefault((b.gid, "face"), Pool(self.p.warm_cap, self.p.warm_anchors, self.p.warm_dedup))
-        pool.write(sample)
+        own = self.centroids[self.gids.index(b.gid)]
+        if face is not None and score >= self.p.min_face_score and (b.operator or float(own @ face) >= self.p.low_face):
+            if self._pool(b.gid, "face").write(face) in ("added", "replaced"):
+                b.last_face = frame
+        recent = b.last_face is not None and frame - b.last_face <= self.p.trust
+        if body is not None and not b.lost and (b.operator or recent):
+            self._pool(b.gid, "body").write(body)
+
+    def _pool(self, gid: int, kind: str) -> Pool:
+        cap = self.p.warm_cap if kind == "face" else self.p.warm_body_cap
+        return self.pools.setdefault((gid, kind), Pool(cap, self.p.warm_anchors, self.p.warm_dedup))
 
 
 MAX_GALLERY = 100_000  # identities: a closed registry that every task holds
