@@ -1,13 +1,13 @@
-"""Near-dedup by shingle similarity: prefix filtering, then an exact check of whole shingle sets."""
+"""Near-dedup by shingle similarity: prefix filtering by two orders, then whole shingle sets of what may be similar."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, bitmap_array, has_bit, maybe_in, shared, written
@@ -15,10 +15,11 @@ from .components import components
 from .tokens import NO_SPACE, mix, token_runs
 
 WIDTH, SIMILARITY = 5, 0.8
-SMALL = 16  # rows of a shingle up to which all pairs are candidates at once
 EVERY, COMMON = 8, 2  # one row in EVERY is looked at for shingles that more than COMMON of them have, which come last
+MANY = 1000  # rows of a shingle from which on it counts as equally common
+BLOCK = 1 << 20  # shingles of rows that are compared with each other at once
 
-_BUCKETS = "key long, row long, size long"
+_PREFIX = "key long, row long, spare int, length int"
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -32,6 +33,8 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
             ok = rows[:n] == rows[width - 1 :]
             h = sum(words[k : k + n] * factors[k] for k in range(width))[ok]
             of = rows[:n][ok]
+        if not len(words):
+            continue
         found, starts, counts = np.unique(rows, return_index=True, return_counts=True)
         short = counts < width
         if short.any():
@@ -53,9 +56,9 @@ def _least_shared(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def _met(n):
-    """Of their first shingles, one of a set of n and a similar set meet in so many at least, for prefixes are as much longer."""
-    return 1 + (F.floor(n / 20) if isinstance(n, Column) else n // 20)
+def _spare(n: int, similarity: float) -> int:
+    """How many more shingles a prefix has than it needs. It grows no faster than _least_shared; see similar_links."""
+    return _least_shared(n, similarity) // 8
 
 
 def _sampled(width: int):
@@ -76,102 +79,95 @@ def _hot(table: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(hot, width: int, similarity: float):
-    """Each row under the first shingles of its set, common ones last: as many as a similar set must share _met of."""
+    """Each row under the first shingles of its set, common ones last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 sets = shingle_sets(part.column(1), width)
-                keys = [s[np.argsort(has_bit(hot.value, s), kind="stable")[: len(s) - _least_shared(len(s), similarity) + _met(len(s))]] for s in sets]
-                n = [len(k) for k in keys]
+                spare = [_spare(len(s), similarity) for s in sets]
+                keys = [s[np.argsort(has_bit(hot.value, s), kind="stable")[: len(s) - _least_shared(len(s), similarity) + 1 + x]] for s, x in zip(sets, spare, strict=True)]
+                n = np.array([len(k) for k in keys])
                 rows = np.repeat(part.column(0).to_numpy(), n)
-                sizes = np.repeat([len(s) for s in sets], n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows), pa.array(sizes.astype(np.int64))], names=["key", "row", "size"])
+                columns = np.concatenate(keys).view(np.int64), rows, np.repeat(np.array(spare, np.int32), n), np.repeat(n.astype(np.int32), n)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "row", "spare", "length"])
 
     return run
 
 
-def _by_key(done: Callable[[np.ndarray], pa.RecordBatch]):
-    """Streams batches of longs sorted by their first column, the rows of a key always together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            new = np.stack([c.to_numpy() for c in b.columns])
-            held = new if held is None else np.concatenate([held, new], axis=1)
-            if held.shape[1] and held[0, -1] != held[0, 0]:
-                whole = int(np.searchsorted(held[0], held[0, -1], "left"))
-                yield done(held[:, :whole])
-                held = held[:, whole:]
-        if held is not None and held.shape[1]:
-            yield done(held)
+_SHARED = "key long, row long, spare int, length int, common int"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key: those of keys that several rows have, with their number, or MANY. Holds MANY rows of a key at most."""
+    held: list[np.ndarray] | None = None
+    over = None  # the key that has had MANY rows already
+    for b in batches:
+        new = [c.to_numpy() for c in b.columns]
+        t = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        starts = np.flatnonzero(np.append(True, t[0][1:] != t[0][:-1]))
+        last = int(starts[-1])
+        n = np.diff(np.append(starts, len(t[0])))
+        n[0] = MANY if over is not None and t[0][0] == over else n[0]
+        count = np.repeat(np.minimum(n, MANY), np.diff(np.append(starts, len(t[0]))))
+        if count[-1] < MANY:
+            held, over = [x[last:] for x in t], None
+            t, count = [x[:last] for x in t], count[:last]
+        else:
+            held, over = None, t[0][-1]
+        yield _several(t, count)
+    if held is not None:
+        yield _several(held, np.full(len(held[0]), len(held[0])))
+
+
+def _several(t: list[np.ndarray], count: np.ndarray) -> pa.RecordBatch:
+    ok = count > 1
+    return pa.RecordBatch.from_arrays([*(pa.array(x[ok]) for x in t), pa.array(count[ok].astype(np.int32))], names=["key", "row", "spare", "length", "common"])
+
+
+def _attended(buckets: DataFrame) -> DataFrame:
+    """(key, row): the shingles a row has to meet others in. As many as it has spare, the most common ones, it may leave out;
+    those that no other row has count first."""
+    by_row = Window.partitionBy("row")
+    ranked = buckets.withColumn("rank", F.row_number().over(by_row.orderBy("common", "key"))).withColumn("n", F.count(F.lit(1)).over(by_row))
+    return ranked.where(F.col("rank") + F.col("length") - F.col("n") <= F.col("length") - F.col("spare")).select("key", "row")
+
+
+def _near_in(similarity: float, width: int):
+    """(a, b) that connect all rows of a block whose sets are similar: each found row is compared with those not yet found."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t["row"].to_numpy()
+        sets = shingle_sets(t["t"], width)
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        keys, ids = np.unique(flat, return_inverse=True)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        by_key = np.argsort(ids, kind="stable")
+        holders, cuts = of[by_key], np.append(0, np.cumsum(np.bincount(ids, minlength=len(keys))))
+        ends = np.append(0, np.cumsum(sizes))
+        left, right, rest = [], [], np.ones(len(sets), bool)
+        for first in range(len(sets)):
+            if not rest[first]:
+                continue
+            rest[first], queue = False, [first]
+            while queue:
+                x = queue.pop()
+                mine = ids[ends[x] : ends[x + 1]]
+                lo, n = cuts[mine], cuts[mine + 1] - cuts[mine]
+                at = np.repeat(lo - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
+                both = np.bincount(holders[at], minlength=len(sets))
+                near = np.flatnonzero(rest & (both >= similarity * (sizes + sizes[x] - both) - 1e-9))
+                rest[near] = False
+                left += [x] * len(near)
+                right += near.tolist()
+                queue += near.tolist()
+        return pa.table({"a": rows[np.array(left, int)], "b": rows[np.array(right, int)]})
 
     return run
 
 
-def _shared(t: np.ndarray) -> pa.RecordBatch:
-    same = t[0, 1:] == t[0, :-1]
-    t = t[:, np.append(same, False) | np.insert(same, 0, False)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in t], names=["key", "row", "size"])
-
-
-def _hubs(similarity: float, turn: int):
-    """Of shingles of many rows: each row with one row of about its size that is drawn anew each turn, if not yet linked."""
-
-    def done(t: np.ndarray) -> pa.RecordBatch:
-        key, row, size, root = t
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.diff(np.append(starts, len(key)))
-        many = np.repeat(n > SMALL, n)
-        key, row, size, root = key[many], row[many], size[many], root[many]
-        band = np.floor(np.log(size) / -np.log(similarity)).astype(np.int64)
-        drawn = mix(row.view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
-        order = np.lexsort((drawn, band, key))
-        key, row, size, band, root = key[order], row[order], size[order], band[order], root[order]
-        first = np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]))[: len(key)]
-        hub = np.flatnonzero(first)[np.cumsum(first) - 1]
-        ok = root != root[hub]
-        return _as_pairs(row[ok], row[hub][ok], np.minimum(size[ok], size[hub][ok]))
-
-    return _by_key(done)
-
-
-def _all(similarity: float):
-    """All pairs of rows of a shingle that can be similar by size and are not yet linked."""
-
-    def done(t: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((t[2], t[0]))
-        key, row, size, root = t[:, order]
-        left, right, sizes, live, gap = [], [], [], np.arange(len(key)), 0
-        while len(live):
-            gap += 1
-            live = live[live + gap < len(key)]
-            # Sizes ascend in a key, so the first that is too large ends it.
-            live = live[(key[live] == key[live + gap]) & (size[live] >= similarity * size[live + gap] - 1e-9)]
-            apart = live[root[live] != root[live + gap]]
-            left.append(row[apart])
-            right.append(row[apart + gap])
-            sizes.append(size[apart])
-        return _as_pairs(*map(np.concatenate, (left, right, sizes)))
-
-    return _by_key(done)
-
-
-_PAIRS = "a long, b long, size long, n long"
-
-
-def _as_pairs(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """(a, b, size of the smaller set, shingles in which they have met here)."""
-    pairs, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), size], axis=1), axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i].copy()) for i in range(3)), pa.array(n)], names=["a", "b", "size", "n"])
-
-
-def _often_met(pairs: DataFrame) -> DataFrame:
-    met = pairs.groupBy("a", "b").agg(F.min("size").alias("size"), F.sum("n").alias("n"))
-    return met.where(F.col("n") >= _met(F.col("size"))).select("a", "b")
-
-
 def _similar(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,55 +186,43 @@ def _similar(width: int, similarity: float):
 def verified(pairs: DataFrame, table: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose whole sets are similar. Texts of no other rows are shuffled."""
     pairs = written(pairs.distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = maybe_in(table.select("__ls_row", F.coalesce("text", F.lit("")).alias("t")), F.xxhash64("__ls_row"), bitmap(ends, F.xxhash64("row"))).where("__ls_hit")
-    one, two = texts.select(F.col("__ls_row").alias("a"), F.col("t").alias("ta")), texts.select(F.col("__ls_row").alias("b"), F.col("t").alias("tb"))
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), table)
+    one, two = texts.select(F.col("row").alias("a"), F.col("t").alias("ta")), texts.select(F.col("row").alias("b"), F.col("t").alias("tb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
     return written(joined.mapInArrow(_similar(width, similarity), "a long, b long"), "similar")
 
 
-def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
-    """(a, b): ``known`` links and pairs of __ls_row whose shingle sets have a Jaccard similarity of at least ``similarity``, enough of them to
+def _texts_of(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(row, t) of rows(row) and a few more, which a bitmap can't tell from them."""
+    found = maybe_in(table.select("__ls_row", F.coalesce("text", F.lit("")).alias("t")), F.xxhash64("__ls_row"), bitmap(rows, F.xxhash64("row")))
+    return found.where("__ls_hit").select(F.col("__ls_row").alias("row"), "t")
+
+
+def similar_links(table: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of __ls_row whose shingle sets have a Jaccard similarity of at least ``similarity``, enough of them to
     connect all that have.
 
-    In one order of all shingles, similar sets share some of their first, so rows meet under those, and pairs that meet in
-    fewer are no pairs. Common shingles come last in that order, so a passage that many texts share is not where they meet. Groups of near copies would make
-    pairs with the square of their size: rows of a large bucket are first compared with one of them, drawn anew each turn,
-    as long as that connects many; then all pairs that are not connected yet are compared. Nothing is left out.
+    In one order of all shingles the first n - m + 1 of a set of n, which shares m at least, hold one that a similar set has among its
+    first. Prefixes are longer by a spare s, so they share s + 1 (the larger set's s, for m grows with n no slower than s): each
+    row can leave out the s of its prefix that most rows share, and still meets each similar row in one that is left. The
+    first order puts shingles last that are common in a sample; the second counts prefixes exactly. So texts that share a
+    passage, but are otherwise their own, meet nobody.
+
+    Rows that meet, directly or through others, form a group. A group's texts come together in blocks of bounded size, each block
+    with each other block, and are compared there; only links that connect are sent on. Nothing is left out.
     """
     hot = shared(table.sparkSession, _hot(table, width))
-    keys = table.select(F.col("__ls_row").alias("row"), F.coalesce("text", F.lit("")).alias("t")).mapInArrow(_prefixes(hot, width, similarity), _BUCKETS)
-    buckets = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_shared), _BUCKETS), "buckets")
-    large = written(buckets.join(buckets.groupBy("key").count().where(f"count > {SMALL}").select("key"), "key", "left_semi"), "large")
-    found = [] if known is None else [known]
-    roots, turn, rows = None if known is None else components(known), 0, large.select("row").distinct().count()
-    while rows:
-        turn += 1
-        pairs = _often_met(_rooted(large, roots).mapInArrow(_hubs(similarity, turn), _PAIRS))
-        found.append(verified(pairs, table, width, similarity))
-        if found[-1].isEmpty():
-            break
-        roots, before = components(_union(found)), roots
-        # Each turn that does not leave a tenth fewer components is the last.
-        merged = roots.where("node <> root").count() - (before.where("node <> root").count() if before is not None else 0)
-        rows -= merged
-        if merged * 10 < rows:
-            break
-    pairs = _often_met(_rooted(buckets, roots).mapInArrow(_all(similarity), _PAIRS))
-    found.append(verified(pairs, table, width, similarity))
-    return _union(found)
-
-
-def _rooted(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        rooted = buckets.withColumn("root", F.col("row"))
-    else:
-        rooted = buckets.join(roots, buckets["row"] == roots["node"], "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
-    return rooted.repartition("key").sortWithinPartitions("key")
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    keys = table.select(F.col("__ls_row").alias("row"), F.coalesce("text", F.lit("")).alias("t")).mapInArrow(_prefixes(hot, width, similarity), _PREFIX)
+    buckets = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_counted, _SHARED)
+    met = written(_attended(buckets), "attended")
+    least = met.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    groups = components(met.join(least, "key").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")))
+    texts = _texts_of(groups.select(F.col("node").alias("row")), table)
+    members = texts.join(groups, F.col("row") == F.col("node")).select("row", "t", F.col("root").alias("group"))
+    sizes = members.groupBy("group").agg(F.sum(F.length("t")).alias("chars"))
+    blocks = sizes.select("group", F.ceil(F.col("chars") / (BLOCK * 6)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("row"), F.greatest("blocks", F.lit(1))).cast("int")
+    other = F.explode(F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own"))).otherwise(F.array(F.lit(0))))
+    dealt = members.join(written(blocks, "blocks"), "group").withColumn("own", own).withColumn("other", other)
+    placed = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "t")
+    return written(placed.groupBy("group", "i", "j").applyInArrow(_near_in(similarity, width), "a long, b long"), "similar")

@@ -159,7 +159,7 @@ def near_links(table: DataFrame, width: int = shingles.WIDTH, similarity: float
 
     Rows of equal fingerprints meet the least of them, and those of fingerprints within the radius meet by ball hashing; the
     whole shingle sets of what meets are compared. At a similarity of 0.8 fingerprints differ in about ten bits, more than
-    any ball can span, so prefix filtering finds the rest, between rows that are not connected yet.
+    any ball can span, so prefix filtering finds the rest.
     """
     rows = fingerprints(table.select(F.col("__ls_row").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), width)
     least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
@@ -167,7 +167,7 @@ def near_links(table: DataFrame, width: int = shingles.WIDTH, similarity: float
     one, two = (least.select(F.col("fp").alias(x), F.col("least").alias(f"row_{x}")) for x in ("a", "b"))
     near = links(least.select("fp")).join(one, "a").join(two, "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     known = shingles.verified(copies.unionByName(near), table, width, similarity)
-    return shingles.similar_links(table, width, similarity, known)
+    return known.unionByName(shingles.similar_links(table, width, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -30,10 +30,11 @@ def test_shingle_sets():
     assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1, 5] and sets[0] == sets[1] and sets[3] == sets[4] == sets[5]
 
 
-@pytest.mark.parametrize("small", [0, 16])
+@pytest.mark.parametrize("small", [3, 1000])
 def test_near_dedup_stage_against_brute_force(spark, monkeypatch, small):
     """Copies at all similarities about 0.8, of short and long texts, a large group, a common passage, null and repeated ids."""
-    monkeypatch.setattr(shingles, "SMALL", small)
+    monkeypatch.setattr(shingles, "MANY", small)
+    monkeypatch.setattr(shingles, "BLOCK", small * 200)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     passage = " ".join(word() for _ in range(40))
@@ -65,3 +66,12 @@ def test_near_dedup_stage_against_brute_force(spark, monkeypatch, small):
         of = [i for i, n, _ in rows if find(n) == find(r.n) and i is not None]
         assert r.doc_id == (min(of) if of else None)
     assert corpus_pipeline._near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_spare_grows_no_faster_than_what_is_shared():
+    """What similar_links relies on: of two sets that can be similar, the larger one's spare is covered."""
+    m = lambda n: shingles._least_shared(n, 0.8)
+    for n in range(1, 3000):
+        assert shingles._spare(n, 0.8) + 1 <= m(n)
+        for k in range(n, int(n / 0.8) + 1, max(1, n // 50)):
+            assert shingles._spare(n, 0.8) + m(k) - m(n) >= shingles._spare(k, 0.8)
