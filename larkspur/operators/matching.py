@@ -23,6 +23,12 @@ def similarities(rows: DataFrame, gallery: DataFrame, vector: str, name: str = "
     return with_members.withColumn(name, sims).drop("members")
 
 
+def merged(sims: DataFrame, keys: list[str], name: str = "sims") -> DataFrame:
+    """(keys, name): one row per key with the similarities of all blocks, by gid."""
+    every = F.array_sort(F.transform(F.flatten(F.collect_list(name)), lambda s: F.struct(s["gid"].alias("gid"), s["cos"].alias("cos"))))
+    return sims.groupBy(*keys).agg(every.alias(name))
+
+
 def best_two(sims: Column) -> tuple[Column, Column, Column]:
     """(gid, similarity, second-best similarity) of array<struct<cos, gid>>; ties go to the lower gid, second is null if there is none."""
     top = F.array_max(F.transform(sims, lambda s: F.struct(s["cos"].alias("cos"), (-s["gid"]).alias("neg"))))

@@ -118,7 +118,7 @@ def q_w17_frame_ranges(spark, sf_dir):
     """Contiguous ranges of ceil(n / 4) frames for compositing."""
     d = bridge.detections(spark, sf_dir).select("video_id", "frame_idx").distinct()
     n = _frames(spark, sf_dir)
-    return d.join(F.broadcast(n), "video_id").select("video_id", "frame_idx", F.floor(F.col("frame_idx") / F.ceil(F.col("n") / 4)).alias("part"))
+    return d.join(n, "video_id").select("video_id", "frame_idx", F.floor(F.col("frame_idx") / F.ceil(F.col("n") / 4)).alias("part"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -1,4 +1,4 @@
-"""Queries whose rules feed back on themselves; SQL can't express them, so tests hold them against brute force."""
+"""Queries whose rules feed back on themselves; SQL can't express them. Tests hold their rules against brute force and scenes."""
 
 from __future__ import annotations
 
@@ -27,12 +27,13 @@ def q_r_resolver(spark, sf_dir):
 
 def q_j13_assignment(spark, sf_dir):
     """Objects of a frame one-to-one with identities at the least total of one less the cosine; frames are independent."""
-    sims = matching.similarities(_samples(spark, sf_dir), bridge.gallery(spark, sf_dir), "body")
-    rows = sims.select("video_id", "frame_idx", "obj_id", F.transform(F.array_sort(F.transform("sims", lambda s: F.struct(s["gid"].alias("gid"), s["cos"].alias("cos")))), lambda s: s["cos"]).alias("cos"))
+    keys = ["video_id", "frame_idx", "obj_id"]
+    sims = matching.merged(matching.similarities(_samples(spark, sf_dir).select(*keys, "body"), bridge.gallery(spark, sf_dir), "body"), keys)
+    rows = sims.select(*keys, F.transform("sims", lambda s: s["cos"]).alias("cos"), F.transform("sims", lambda s: s["gid"]).alias("gids"))
 
     def step(rows: list[dict]) -> list[dict]:
         cost = 1 - np.array([r["cos"] for r in rows])
-        return [{**{k: rows[i][k] for k in ("video_id", "frame_idx", "obj_id")}, "gid": j, "cos": float(1 - cost[i, j])} for i, j in assign.solve(cost)]
+        return [{**{k: rows[i][k] for k in ("video_id", "frame_idx", "obj_id")}, "gid": rows[i]["gids"][j], "cos": float(1 - cost[i, j])} for i, j in assign.solve(cost)]
 
     return fold.ordered_fold(rows, ["video_id", "frame_idx"], [], ["obj_id"], lambda: step, "video_id long, frame_idx long, obj_id long, gid long, cos double")
 

@@ -48,7 +48,7 @@ def q_p25_mapping_errors(spark, sf_dir):
     m = bridge.matched(spark, sf_dir).where("event_id % 50 = 0 and k % 2 = 0").select("video_id", "obj_id", (F.col("vec_id") % 13).alias("gid")).distinct()
     twice = m.groupBy("video_id", "gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("video_id", "gid", F.lit("duplicate").alias("error"))
     known = bridge.vectors(spark, sf_dir).select(F.col("label").alias("gid")).distinct()
-    unknown = m.select("video_id", "gid").distinct().join(F.broadcast(known), "gid", "left_anti").select("video_id", "gid", F.lit("unknown").alias("error"))
+    unknown = m.select("video_id", "gid").distinct().join(known, "gid", "left_anti").select("video_id", "gid", F.lit("unknown").alias("error"))
     return twice.unionByName(unknown)
 
 

@@ -39,18 +39,18 @@ def q_p14_ambiguity(spark, sf_dir):
     """Own centroid's cosine less the best other; vetoed under 0.03."""
     sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
     pick = lambda own: F.array_max(F.transform(F.filter("sims", lambda s: (s["gid"] == F.col("label")) == own), lambda s: s["cos"]))
-    diff = pick(True) - pick(False)
-    return sims.select("vec_id", F.col("label").alias("gid"), F.round(diff, 6).alias("lead"), (diff < 0.03).alias("ambiguous"))
+    parts = sims.select("vec_id", F.col("label").alias("gid"), pick(True).alias("own"), pick(False).alias("other"))
+    best = parts.groupBy("vec_id", "gid").agg((F.max("own") - F.max("other")).alias("lead"))  # over the blocks of the gallery
+    return best.select("vec_id", "gid", F.round("lead", 6).alias("lead"), (F.col("lead") < 0.03).alias("ambiguous"))
 
 
 def q_a4_column_winner(spark, sf_dir):
     """The one vector with the strictly highest cosine of each identity; none on a tie."""
     sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
-    flat = sims.select("vec_id", F.explode("sims").alias("s")).select("vec_id", "s.gid", F.col("s.cos").alias("cos"))
-    # Two best rows of each identity, by a partial aggregate: equal cosines mean a tie.
-    best = flat.groupBy("gid").agg(F.max("cos").alias("best"), F.max_by("vec_id", "cos").alias("winner"))
-    ties = flat.join(F.broadcast(best), "gid").where("cos = best").groupBy("gid").agg(F.count(F.lit(1)).alias("n_best"))
-    return best.join(ties, "gid").select("gid", F.round("best", 6).alias("best"), F.when(F.col("n_best") == 1, F.col("winner")).alias("winner"))
+    flat = sims.select("vec_id", F.inline("sims"))
+    # Of equal cosines the largest and the smallest vec_id; they differ on a tie. One aggregate, combined before the shuffle.
+    best = flat.groupBy("gid").agg(F.max(F.struct("cos", "vec_id")).alias("hi"), F.max(F.struct("cos", (-F.col("vec_id")).alias("neg"))).alias("lo"))
+    return best.select("gid", F.round("hi.cos", 6).alias("best"), F.when(F.col("hi.vec_id") == -F.col("lo.neg"), F.col("hi.vec_id")).alias("winner"))
 
 
 def q_a7_pool_stats(spark, sf_dir):
@@ -84,7 +84,7 @@ def q_t2_pool_top_k(spark, sf_dir):
 def q_f10_augmented(spark, sf_dir):
     """The better of the centroid's and the pool's similarity, and whether the pool strictly won."""
     g = bridge.gallery(spark, sf_dir).select(F.col("gid").alias("label"), "centroid")
-    rows = _pool_sims(spark, sf_dir).join(F.broadcast(g), "label")
+    rows = _pool_sims(spark, sf_dir).join(g, "label")
     sim, won = gates.augmented(vec.dot(F.col("embedding"), F.col("centroid")), F.array_max("sims"))
     return rows.select("vec_id", F.round(sim, 6).alias("sim"), won.alias("warm_won"))
 
@@ -93,7 +93,7 @@ def q_a2_running_mean(spark, sf_dir):
     """Cosine of each label's weighted running mean with its centroid, from running sums: cos = (sum q e.c) / |sum q e|."""
     v = bridge.vectors(spark, sf_dir).withColumn("q", (F.col("vec_id") % 7 + 1) / 7.0)
     g = bridge.gallery(spark, sf_dir).select(F.col("gid").alias("label"), F.posexplode("centroid").alias("i", "c"))
-    parts = v.select("vec_id", "label", "q", F.posexplode("embedding").alias("i", "x")).join(F.broadcast(g), ["label", "i"])
+    parts = v.select("vec_id", "label", "q", F.posexplode("embedding").alias("i", "x")).join(g, ["label", "i"])
     w = Window.partitionBy("label", "i").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
     run = parts.withColumn("s", F.sum(F.col("x").cast("double") * F.col("q")).over(w))
     out = run.groupBy("vec_id", "label").agg(F.sum(F.col("s") * F.col("c")).alias("d"), F.sum(F.col("s") * F.col("s")).alias("n"))
@@ -101,7 +101,7 @@ def q_a2_running_mean(spark, sf_dir):
 
 
 def q_f33_cosine_map(spark, sf_dir):
-    sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
+    sims = matching.merged(matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding"), ["vec_id"])
     entry = lambda s: F.struct(s["gid"].alias("gid"), (s["cos"] >= FLOOR).alias("ok"))
     return sims.select("vec_id", F.to_json(F.map_from_entries(F.transform(F.array_sort(F.transform("sims", entry)), lambda s: F.struct(s["gid"].cast("string"), s["ok"])))).alias("over_floor"))
 
