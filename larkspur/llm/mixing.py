@@ -52,6 +52,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = docs.select("doc_id", "source", *carry, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")).withColumn("key", key)
+    sized = written(sized, "sizes")  # cutting ranges samples its input, which is to be the narrow rows and not the texts
     order = ["size", "key", F.col("doc_id").asc_nulls_first()]
     ranged = written(sized.repartitionByRange(n, F.col("source").asc_nulls_last(), *order).withColumn("part", F.spark_partition_id()), "mixing")
     parts = ranged.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
