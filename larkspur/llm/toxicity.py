@@ -59,7 +59,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
     known = np.zeros(p.buckets, bool)
     for ids, _ in bags:
         known[ids] = True
-    table = np.where(known[:, None], rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)), 0).astype(np.float32)
+    every = np.where(known[:, None], rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)), 0).astype(np.float32)
+    table, dense = every[known], np.cumsum(known) - 1  # the rows in use, close together
+    bags = [(dense[ids], share) for ids, share in bags]
     weights, bias = rng.uniform(-0.5, 0.5, (p.dim, 2)).astype(np.float32), np.zeros(2)
     for epoch in range(p.epochs):
         rate = np.float32(p.rate * (1 - epoch / p.epochs))
@@ -75,7 +77,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
             table[ids] = rows - rate * share[:, None] * back
             weights -= rate * np.float32(0.1) * np.outer(mean, grad).astype(np.float32)
             bias -= 0.01 * rate * grad
-    return (table @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0])
+    every[known] = table
+    return (every @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
 _BAGS = "doc_id long, toxic int, ids array<int>, counts array<int>"
