@@ -121,9 +121,12 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def all_but_first(members: DataFrame) -> DataFrame:
-    """(row, group, at) -> (__ls_dropped): all rows but the first of their group by ``at``, which differs between rows."""
-    kept = members.groupBy("group").agg(F.min("at").alias("least"))
-    return members.join(kept, "group").where("at <> least").select(F.col("row").alias("__ls_dropped"))
+    """(row, group, at) -> (__ls_dropped): all rows but the first of their group by ``at``, a struct whose ``row`` tells rows apart.
+
+    The first are found by a partial aggregate and taken out by row, so a large group meets in no task.
+    """
+    first = members.groupBy("group").agg(F.min("at").alias("at")).select("at.row")
+    return members.select("row").join(first, "row", "left_anti").select(F.col("row").alias("__ls_dropped"))
 
 
 def without(table: DataFrame, dropped: DataFrame) -> DataFrame:

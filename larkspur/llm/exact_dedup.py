@@ -14,6 +14,7 @@ from . import golomb
 from .common import all_but_first, bitmap, maybe_in, numbered, without, written
 
 BLOCK_ROWS = 1 << 16  # documents whose fingerprints a task sends at once
+OWNER_ROWS = 1 << 21  # documents for each owner of fingerprints: owners grow with the input
 
 _BLOCKS = "owner int, block long, n int, k int, code binary, again binary, digests binary, counts binary, ids binary"
 
@@ -115,7 +116,7 @@ def exact_duplicates(docs: DataFrame, fingerprint: Column | None = None, owners:
     Null text counts as empty, a null doc_id as smaller than others. Rows that repeat both doc_id and text share their
     result, so they stay or go together.
     """
-    owners = owners or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     text = F.coalesce("text", F.lit(""))
     h = (F.xxhash64("t") if fingerprint is None else fingerprint).alias("h")
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
@@ -143,7 +144,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     found = maybe_in(table.select(F.col("__ls_row").alias("row"), "doc_id", digest.alias("group")), F.xxhash64("group"), bitmap(copied, F.xxhash64("group"))).where("__ls_hit")
     at = F.struct(F.col("doc_id").isNull().alias("null"), (-F.col("doc_id").cast("decimal(20)")).alias("id"), F.col("row")).alias("at")
-    return without(table, all_but_first(written(found.join(copied, "group", "left_semi").select("row", "group", at), "members")))
+    # A row that the bitmap takes for a copy and isn't one is alone in its group and stays.
+    return without(table, all_but_first(written(found.select("row", "group", at), "members")))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
