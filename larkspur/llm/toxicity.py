@@ -153,7 +153,7 @@ def _scorer(table, bias: float, p: Params, text: int):
         logits, known = table.value.tolist(), {}
         for b in batches:
             scores = []
-            for t in b.column(text).to_pylist():
+            for t in (t for at in range(0, b.num_rows, 256) for t in b.column(text).slice(at, 256).to_pylist()):
                 total, n = 0.0, 0
                 for word, times in Counter(_WORDS.findall(t.lower())).items() if t else ():
                     got = known.get(word)
