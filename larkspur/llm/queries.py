@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, licenses, lm_score, mixing, secrets, simhash, substring_dedup, toxicity
+from . import alignment, chat, decontam, exact_dedup, licenses, lm_score, mixing, secrets, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chat_format": chat.op8_chat_format,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_token_alignment": alignment.op11_token_alignment,
     }
 
 
