@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, decontam, exact_dedup, licenses, lm_score, mixing, secrets, simhash, substring_dedup, toxicity, whitening
+from . import alignment, chat, decontam, exact_dedup, licenses, lm_score, mixing, near_vectors, secrets, simhash, substring_dedup, toxicity, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_license_scan": licenses.op10_license_scan,
         "op11_token_alignment": alignment.op11_token_alignment,
         "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_embedding_near_dedup": near_vectors.op13_embedding_near_dedup,
     }
 
 

@@ -30,4 +30,4 @@ def test_query(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(n.split("_")[0] for n in NAMES) == sorted([*(f"op{i}" for i in range(1, 13)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in NAMES) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
