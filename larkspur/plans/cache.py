@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import options, vec
 from ..operators import sequence
-from ..sources import bridge, media, track_cache
+from ..sources import bridge, media, scratch, track_cache
 from ..sources.bridge import DET_SQL
 
 FPS = 24.0  # of the bridge's videos
 
 
-def folder(spark) -> str:
-    """A new path in the shared folder of the session; one of our own only where Spark runs in this process and none is set."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/larkspur-{sc.applicationId}/cache-{uuid.uuid4().hex}"
-
-
 def _streams(spark, sf_dir):
     """A stream for each video; every third doesn't say how long it is."""
     v = bridge.detections(spark, sf_dir).groupBy("video_id").agg((F.max("frame_idx") + 1).alias("n"))
@@ -91,7 +76,7 @@ def _tracks(spark, sf_dir):
 
 
 def _cached(spark, sf_dir):
-    path = folder(spark)
+    path = scratch.new_path(spark, "cache")
     track_cache.write_tracks(_tracks(spark, sf_dir), path)
     if not track_cache.complete(spark, path):
         raise OSError(f"the cache at {path} was not written to its end")
@@ -126,7 +111,7 @@ def q_f32_meta_json(spark, sf_dir):
 
 def q_k4_frame_store(spark, sf_dir):
     """Frames of a store, renumbered from 0 in the order of time, and how many there are."""
-    path = folder(spark)
+    path = scratch.new_path(spark, "cache")
     by_time = Window.partitionBy("video_id").orderBy("frame_idx")
     _pictures(spark, sf_dir).withColumn("stored_idx", (F.row_number().over(by_time) - 1).cast("long")).write.parquet(path)
     n = spark.read.parquet(path).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames"), F.max("stored_idx").alias("last_idx"))
@@ -147,7 +132,7 @@ def _keyed_centroids(spark, sf_dir):
 
 def q_s17_centroid_cache(spark, sf_dir):
     """Centroids saved and loaded by content key: identities whose content has changed since miss."""
-    path = folder(spark)
+    path = scratch.new_path(spark, "cache")
     track_cache.save_centroids(_keyed_centroids(spark, sf_dir), path)
     changed = F.concat(F.lit("identity-"), F.col("gid").cast("string"), F.when(F.col("gid") % 3 == 0, "-new").otherwise(""))
     wanted = bridge.vectors(spark, sf_dir).select(F.col("label").alias("gid")).distinct().withColumn("content_key", F.sha2(changed, 256))
