@@ -1,8 +1,8 @@
-"""Evidence for and against identities: admission of samples, running means, streaks, duplicate holders, pool writes."""
+"""Evidence for and against identities: admission of samples, duplicate holders, pool writes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
@@ -20,21 +20,6 @@ def passing(faces: Column, min_width: float = 40.0, min_score: float = 0.6) -> C
     return F.filter(faces, lambda f: (f["width"] >= min_width) & (f["score"] >= min_score))
 
 
-def running_means(rows: DataFrame, keys: list[str], order: str, vector: str, weight: Column, before: bool = False) -> DataFrame:
-    """(keys, order, running, n): the unit mean of the weighted vectors so far (``before``: without the row's own), null if none has weight.
-
-    Sums run by dimension, so no task holds a key's vectors at once.
-    """
-    last = -1 if before else 0
-    flat = rows.select(*keys, order, weight.cast("double").alias("__w"), F.posexplode(vector).alias("__i", "__x"))
-    w = Window.partitionBy(*keys, "__i").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-    sums = flat.withColumn("__s", F.sum(F.col("__x").cast("double") * F.col("__w")).over(w)).withColumn("__n", F.coalesce(F.count(F.when(F.col("__w") > 0, 1)).over(w), F.lit(0)))
-    mean = sums.groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("__i", "__s"))).alias("s"), F.max("__n").alias("n"))
-    values = F.transform("s", lambda p: F.coalesce(p["__s"], F.lit(0.0)))
-    size = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return mean.select(*keys, order, F.when(F.col("n") > 0, F.transform(values, lambda x: x / F.greatest(size, F.lit(1e-12)))).alias("running"), "n")
-
-
 def inconsistent(cos: Column, n: Column, score: Column, cos_floor: float = 0.3, score_floor: float = 0.7) -> Column:
     """Whether a sure new face is unlike the mean of two or more before it: a sign that the object has changed hands."""
     return F.coalesce((score >= score_floor) & (n >= 2) & (cos < cos_floor), F.lit(False))
@@ -64,13 +49,6 @@ def challengers(rows: DataFrame, frame: list[str], obj: str = "obj_id") -> DataF
     return held.join(rivals, [*frame, "gid"], "left")
 
 
-def streak(bad: Column, keys: list[str], order: str) -> tuple[Column, Column]:
-    """(group, length) for rows in order: how many in a row were bad up to here; a row that is not bad ends it. ``group`` is to be made a column first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    group = F.sum(F.when(bad, 0).otherwise(1)).over(w)
-    return group, F.count(F.when(bad, 1)).over(Window.partitionBy(*keys, "__streak").orderBy(order))
-
-
 def holders(rows: DataFrame, frame: list[str], obj: str = "obj_id") -> DataFrame:
     """(frame, gid, obj, anchor, demoted) where several objects of a frame hold an identity.
 

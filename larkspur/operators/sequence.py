@@ -1,4 +1,4 @@
-"""Ordered-sequence operators: chunks, segments, windows, carry-over, streaks."""
+"""Ordered-sequence operators: chunks, segments, windows, carry-over."""
 
 from __future__ import annotations
 
@@ -88,20 +88,6 @@ def carried_forward(rows: DataFrame, by: list[str], columns: list[str], last_fra
     return ghosts.join(source, [*by, "from_frame"]).select(*by, F.col("ghost_frame").alias("frame_idx"), "from_frame", *columns, (F.col("score") * factor).alias("score"))
 
 
-def streak(fails: Column, keys: list[Column], order: str = "frame_idx") -> Column:
-    """How many rows in a row have failed, this one included; needs ``__pass`` from ``passes``."""
-    return F.sum(fails.cast("long")).over(Window.partitionBy(*keys, "__pass").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def passes(fails: Column, keys: list[Column], order: str = "frame_idx") -> Column:
-    return F.sum((~fails).cast("long")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def last_before(value: Column, keys: list[Column], order: str = "frame_idx") -> Column:
-    """The last value before this row that is not null."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-
-
 def sampled(rows: DataFrame, keys: list[str], ts: str, step: float, start: float = 0.0) -> DataFrame:
     """The rows that "emit if ts >= next, then next += step" emits, in order of ts.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, geom, vec
-from ..operators import evidence, matching, sequence
+from ..operators import evidence, matching, prefix, sequence
 from ..sources import bridge, records
 from ..sources.bridge import DET_SQL, GALLERY_SQL
 from .geometry import q_p18_mask_sanity
@@ -63,7 +63,7 @@ def _with_vectors(spark, sf_dir):
 def q_p15_consistency(spark, sf_dir):
     """Faces that are unlike the weighted mean of those before them. Weights are scores; the floor suits the bridge's vectors."""
     m = _with_vectors(spark, sf_dir).where("k % 2 = 0")
-    before = evidence.running_means(m, OBJ, "frame_idx", "embedding", F.col("k") + 1, before=True)
+    before = prefix.running_means(m, OBJ, "frame_idx", "embedding", F.col("k") + 1, before=True)
     j = m.join(before, [*OBJ, "frame_idx"])
     cos = F.round(vec.dot(vec.unit(F.col("embedding")), F.col("running")), 9)
     return j.select(*OBJ, "frame_idx", "n", evidence.inconsistent(cos, F.col("n"), F.col("score"), 0.0, 0.7).alias("reset"))
@@ -72,7 +72,7 @@ def q_p15_consistency(spark, sf_dir):
 def q_a3_body_mean(spark, sf_dir):
     """The mean body of each object after each sample, all samples alike: its cosine with the first number's axis."""
     m = _with_vectors(spark, sf_dir)
-    r = evidence.running_means(m, OBJ, "frame_idx", "embedding", F.lit(1))
+    r = prefix.running_means(m, OBJ, "frame_idx", "embedding", F.lit(1))
     return r.select(*OBJ, "frame_idx", "n", F.round(F.element_at("running", 1), 6).alias("first"))
 
 
@@ -100,9 +100,8 @@ def q_p16_face_writes(spark, sf_dir):
 
 def q_j19_last_face(spark, sf_dir):
     """The last frame at which an object's face was admitted, as of each frame, if it is at most 30 frames ago."""
-    d = _own_cosine(spark, sf_dir).withColumn("ok", _face_reason().isNull())
-    last = F.last(F.when(F.col("ok"), F.col("frame_idx")), ignorenulls=True).over(_by_object().rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("last_face", last)
+    admitted = F.when(_face_reason().isNull(), F.col("frame_idx"))
+    d = prefix.last_value(_own_cosine(spark, sf_dir), OBJ, "frame_idx", admitted, "last_face", own=True)
     return d.select(*OBJ, "frame_idx", F.when(F.col("frame_idx") - F.col("last_face") <= 30, F.col("last_face")).alias("last_face"))
 
 
@@ -124,9 +123,8 @@ def q_a5_challenger(spark, sf_dir):
 
 def q_w8_column_loss(spark, sf_dir):
     """How many samples in a row a challenger has led by more than 0.05."""
-    c = _challenged(spark, sf_dir).withColumn("bad", F.coalesce(F.col("challenger") - F.col("own") > 0.05, F.lit(False)))
-    group, length = evidence.streak(F.col("bad"), OBJ, "frame_idx")
-    return c.withColumn("__streak", group).withColumn("streak", length).select(*OBJ, "frame_idx", "streak")
+    led = F.col("challenger") - F.col("own") > 0.05
+    return prefix.streak(_challenged(spark, sf_dir), OBJ, "frame_idx", led, "streak").select(*OBJ, "frame_idx", "streak")
 
 
 def _founded(spark, sf_dir):

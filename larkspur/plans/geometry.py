@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..operators import gates, matching
+from ..operators import gates, matching, prefix
 from ..sources import bridge
 from ..sources.bridge import DET_SQL, FRAME_H
 
@@ -61,8 +61,8 @@ def q_p13_locality(spark, sf_dir):
     """Whether each identity may be where it is, given where it was seen last."""
     d = bridge.matched(spark, sf_dir)
     one = d.groupBy("video_id", "gid", "frame_idx").agg(F.min(F.struct("obj_id", "x1", "y1", "x2", "y2", "k")).alias("d")).select("video_id", "gid", "frame_idx", "d.*")
-    w = Window.partitionBy("video_id", "gid").orderBy("frame_idx")
-    seen = one.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("x1", "y1", "x2", "y2", "frame_idx")})
+    place = ("x1", "y1", "x2", "y2", "frame_idx")
+    seen = prefix.last_value(one, ["video_id", "gid"], "frame_idx", F.struct(*place), "last").select("*", *[F.col(f"last.{c}").alias(f"p_{c}") for c in place])
     gap, dist = F.col("frame_idx") - F.col("p_frame_idx"), geom.centre_distance(geom.box(), geom.box("p_"))
     path = F.when(F.col("k") % 2 == 0, "face").otherwise("osnet")
     return seen.select("video_id", "gid", "frame_idx", gap.alias("gap"), F.round(dist, 3).alias("distance"), gates.locality_ok(gap, dist, path).alias("ok"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..operators import gates, sequence
+from ..operators import gates, prefix, sequence
 from ..sources import bridge
 from ..sources.bridge import DET_SQL
 
@@ -74,7 +74,8 @@ def q_w6_carried_mask(spark, sf_dir):
     """Where each frame's paint mask comes from: its own, the last good one if the box hardly moved, or none."""
     d = bridge.detections(spark, sf_dir)
     kind = gates.mask_quality(F.col("mask_area"), geom.area(geom.box()), F.col("score"), F.col("mask_source"))["kind"]
-    state = d.withColumn("kind", kind).withColumn("last", sequence.last_before(F.when(kind == "Pass", F.struct("frame_idx", "x1", "y1", "x2", "y2")), [F.col(c) for c in OBJ]))
+    good = F.when(F.col("kind") == "Pass", F.struct("frame_idx", "x1", "y1", "x2", "y2"))
+    state = prefix.last_value(d.withColumn("kind", kind), OBJ, "frame_idx", good, "last")
     last = [F.col(f"last.{c}") for c in ("x1", "y1", "x2", "y2")]
     near = gates.within_motion(geom.centre_distance(geom.box(), last), geom.diagonal(last))
     carried = (F.col("kind") != "Pass") & near
@@ -82,9 +83,7 @@ def q_w6_carried_mask(spark, sf_dir):
 
 
 def q_w7_low_score_streak(spark, sf_dir):
-    keys = [F.col(c) for c in OBJ]
-    d = bridge.detections(spark, sf_dir).withColumn("fails", F.col("score") < 0.4)
-    s = d.withColumn("__pass", sequence.passes(F.col("fails"), keys)).withColumn("streak", sequence.streak(F.col("fails"), keys))
+    s = prefix.streak(bridge.detections(spark, sf_dir), OBJ, "frame_idx", F.col("score") < 0.4, "streak")
     return s.select(*OBJ, "frame_idx", "streak", (F.col("streak") >= 5).alias("demote"))
 
 
@@ -110,8 +109,8 @@ def q_p10_cadence(spark, sf_dir):
 
 def q_p28_face_recent(spark, sf_dir):
     """Whether a sample with k of 70 or more came within the last 6 frames."""
-    last = F.last(F.when(F.col("k") >= 70, F.col("frame_idx")), ignorenulls=True).over(_by_object().rowsBetween(Window.unboundedPreceding, 0))
-    return bridge.detections(spark, sf_dir).withColumn("last", last).select(*OBJ, "frame_idx", "last", F.coalesce(F.col("frame_idx") - F.col("last") <= 6, F.lit(False)).alias("recent"))
+    d = prefix.last_value(bridge.detections(spark, sf_dir), OBJ, "frame_idx", F.when(F.col("k") >= 70, F.col("frame_idx")), "last", own=True)
+    return d.select(*OBJ, "frame_idx", "last", F.coalesce(F.col("frame_idx") - F.col("last") <= 6, F.lit(False)).alias("recent"))
 
 
 def q_w17_frame_ranges(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import gates, matching
+from ..operators import gates, matching, prefix
 from ..sources import bridge
 from ..sources.bridge import GALLERY_SQL
 
@@ -90,14 +90,11 @@ def q_f10_augmented(spark, sf_dir):
 
 
 def q_a2_running_mean(spark, sf_dir):
-    """Cosine of each label's weighted running mean with its centroid, from running sums: cos = (sum q e.c) / |sum q e|."""
-    v = bridge.vectors(spark, sf_dir).withColumn("q", (F.col("vec_id") % 7 + 1) / 7.0)
-    g = bridge.gallery(spark, sf_dir).select(F.col("gid").alias("label"), F.posexplode("centroid").alias("i", "c"))
-    parts = v.select("vec_id", "label", "q", F.posexplode("embedding").alias("i", "x")).join(g, ["label", "i"])
-    w = Window.partitionBy("label", "i").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = parts.withColumn("s", F.sum(F.col("x").cast("double") * F.col("q")).over(w))
-    out = run.groupBy("vec_id", "label").agg(F.sum(F.col("s") * F.col("c")).alias("d"), F.sum(F.col("s") * F.col("s")).alias("n"))
-    return out.select("vec_id", F.col("label").alias("gid"), F.round(F.col("d") / F.sqrt("n"), 6).alias("cos"))
+    """Cosine of each label's weighted running mean with its centroid."""
+    v = bridge.vectors(spark, sf_dir)
+    means = prefix.running_means(v, ["label"], "vec_id", "embedding", (F.col("vec_id") % 7 + 1) / 7.0)
+    g = bridge.gallery(spark, sf_dir).select(F.col("gid").alias("label"), "centroid")
+    return means.join(g, "label").select("vec_id", F.col("label").alias("gid"), F.round(vec.dot(F.col("running"), F.col("centroid")), 6).alias("cos"))
 
 
 def q_f33_cosine_map(spark, sf_dir):
