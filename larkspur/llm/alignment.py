@@ -25,6 +25,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ class Params:
 
     byte_level: str = "/opt/tokenizers/byte_bpe_50k.json"
     pieces: str = "/opt/tokenizers/piece_bpe_32k.model"
-    block_bytes: int = 8 << 20
+    block_bytes: int = 6 << 20
 
 
 class Tokenizers:
@@ -226,16 +227,17 @@ def _aligned(ids: pa.Array, texts: list[str], t: Tokenizers) -> pa.RecordBatch:
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[str]]]:
     """(doc ids, texts) of whole documents, up to about ``size`` bytes of text; null is empty.
 
-    Blocks are millions of short lists without cycles, so this worker no longer looks for cycles.
+    Blocks are millions of short lists without cycles, so this worker looks for cycles between blocks only.
     """
     gc.disable()
     ids, texts, held = [], [], 0
     for batch in batches:
         lengths = batch.column(1).cast(pa.large_binary())
-        for i, n in enumerate(pa.compute.binary_length(lengths).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(lengths).fill_null(0).to_pylist()):
             if texts and held + n > size:
                 yield pa.array(ids, pa.int64()), texts
                 ids, texts, held = [], [], 0
+                gc.collect()
             ids.append(batch.column(0)[i].as_py())
             texts.append(batch.column(1)[i].as_py() or "")
             held += n
