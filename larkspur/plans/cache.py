@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import options, vec
+from ..functions import options, runs, vec
 from ..operators import sequence
-from ..sources import bridge, media, scratch, track_cache
+from ..sources import bridge, frame_files, media, scratch, track_cache
 from ..sources.bridge import DET_SQL
 
 FPS = 24.0  # of the bridge's videos
@@ -68,38 +70,58 @@ def q_s16_references(spark, sf_dir):
 def _tracks(spark, sf_dir):
     m = bridge.matched(spark, sf_dir)
     info = F.struct(F.when(F.col("k") % 2 == 0, "face").otherwise("body").alias("path"), F.col("score").alias("sim"), F.when(F.col("k") % 5 != 0, F.col("score") / 2).alias("second_sim"), (F.col("k") % 10 == 0).alias("operator"))
-    mask = F.when(F.col("k") % 4 != 0, F.array(F.col("x1"), F.col("y2") - F.col("y1"), F.col("k")))
-    return m.select(
-        "video_id", "frame_idx", "obj_id", "gid", "x1", "y1", "x2", "y2", "score", mask.alias("mask"), F.when(F.col("k") % 3 == 0, F.array(F.col("x1") / 2.0, F.col("y1") / 2.0)).alias("keypoints"),
-        track_cache.tagged(F.when(F.col("k") % 8 != 0, info), "assignment").alias("assignment"),
-    )
+    # A mask of the box's columns in a picture of 1000 by 2000: so many zeros, so many ones, the rest.
+    mask = F.when(F.col("k") % 4 != 0, F.array(F.col("x1") * 1000 + F.col("y1"), F.col("y2") - F.col("y1"), F.lit(2_000_000) - F.col("x1") * 1000 - F.col("y2")).cast("array<int>"))
+    points = F.when(F.col("k") % 3 == 0, F.array(F.col("x1") / 2.0, F.col("y1") / 2.0))
+    return m.select("video_id", "frame_idx", "obj_id", "gid", "x1", "y1", "x2", "y2", "score", mask.alias("mask"), points.alias("keypoints"), track_cache.tagged(F.when(F.col("k") % 8 != 0, info), "assignment").alias("assignment"))
 
 
 def _cached(spark, sf_dir):
-    path = scratch.new_path(spark, "cache")
-    track_cache.write_tracks(_tracks(spark, sf_dir), path)
+    """The tracks as a cache of one file per frame."""
+    frame_files.register(spark)
+    path = scratch.new_path(spark, "tracks")
+    meta = F.to_json(F.struct("obj_id", "gid", "x1", "y1", "x2", "y2", "score", "assignment"))
+    size = [F.when(F.col("mask").isNotNull(), n).cast("int").alias(c) for c, n in (("height", 1000), ("width", 2000))]
+    rows = _tracks(spark, sf_dir).select("video_id", "frame_idx", "obj_id", meta.alias("meta"), *size, runs.code(F.col("mask")).alias("code"), F.col("keypoints").alias("points"))
+    frame_files.laid_out(rows, "obj_id", int(spark.conf.get("spark.sql.shuffle.partitions"))).write.format("larkspur_tracks").mode("overwrite").save(path)
     if not track_cache.complete(spark, path):
         raise OSError(f"the cache at {path} was not written to its end")
     return path
 
 
+_TRACK = "obj_id long, gid long, x1 long, y1 long, x2 long, y2 long, score double, assignment string"
+
+
+def _cache(spark, sf_dir, schema):
+    return spark.read.format("larkspur_tracks").schema(schema).load(_cached(spark, sf_dir))
+
+
 def q_k3_track_cache(spark, sf_dir):
     """Tracks written and read whole: masks, keypoints and the record of the decision come back."""
-    t = track_cache.read_tracks(spark, _cached(spark, sf_dir))
-    a = track_cache.untagged(F.col("assignment"), "assignment", track_cache.ASSIGNMENT)
+    t = _cache(spark, sf_dir, "video_id long, frame_idx long, meta string, code string, points array<double>").withColumn("t", F.from_json("meta", _TRACK))
+    a = track_cache.untagged(F.col("t.assignment"), "assignment", track_cache.ASSIGNMENT)
     return t.select(
-        F.col("video_id").cast("long").alias("video_id"), "frame_idx", "obj_id", "gid", "x1", "y2", F.array_join(F.transform("mask", lambda x: x.cast("string")), ",").alias("mask"),
-        F.round(F.element_at("keypoints", 1), 6).alias("joint"), a["path"].alias("path"), F.round(a["second_sim"], 6).alias("second_sim"), a["operator"].alias("operator"),
+        "video_id", "frame_idx", "t.obj_id", "t.gid", "t.x1", "t.y2", F.array_join(runs.from_code(F.col("code")).cast("array<string>"), ",").alias("mask"),
+        F.round(F.element_at("points", 1), 6).alias("joint"), a["path"].alias("path"), F.round(a["second_sim"], 6).alias("second_sim"), a["operator"].alias("operator"),
     )
 
 
 def q_s11_cache_meta(spark, sf_dir):
-    return track_cache.read_meta(spark, _cached(spark, sf_dir)).select(F.col("video_id").cast("long").alias("video_id"), "frame_idx", "obj_id", "gid", "has_mask")
+    """Rows without their masks, which are not read."""
+    t = _cache(spark, sf_dir, "video_id long, frame_idx long, meta string, has_mask boolean").withColumn("t", F.from_json("meta", _TRACK))
+    return t.select("video_id", "frame_idx", "t.obj_id", "t.gid", "has_mask")
 
 
 def q_s10_cache_frames(spark, sf_dir):
-    f = track_cache.frame_indices(spark, _cached(spark, sf_dir))
-    return f.select(F.col("video_id").cast("long").alias("video_id"), "frame_idx", track_cache.frame_name(F.col("frame_idx"), 6, ".npz").alias("name"))
+    """Frames of the cache by the names of its files, none of which is opened."""
+    f = _cache(spark, sf_dir, "video_id long, frame_idx long")
+    return f.select("video_id", "frame_idx", track_cache.frame_name(F.col("frame_idx"), 6, ".npz").alias("name"))
+
+
+def q_s12_cached_range(spark, sf_dir):
+    """Tracks of frames 100 to 199 of the first five videos, with the area of their masks: files of others are not opened."""
+    t = _cache(spark, sf_dir, "video_id long, frame_idx long, meta string, code string").where("video_id < 5 and frame_idx >= 100 and frame_idx < 200")
+    return t.select("video_id", "frame_idx", F.get_json_object("meta", "$.obj_id").cast("long").alias("obj_id"), runs.area(runs.from_code(F.col("code"))).alias("area"))
 
 
 def q_f32_meta_json(spark, sf_dir):
@@ -109,18 +131,49 @@ def q_f32_meta_json(spark, sf_dir):
     return t.select("video_id", "frame_idx", "obj_id", F.get_json_object("assignment", "$.__type__").alias("tag"), back["path"].alias("path"), track_cache.untagged(F.col("assignment"), "other", track_cache.ASSIGNMENT).isNull().alias("other_is_null"))
 
 
-def q_k4_frame_store(spark, sf_dir):
-    """Frames of a store, renumbered from 0 in the order of time, and how many there are."""
-    path = scratch.new_path(spark, "cache")
+def _thumbnail(video: pa.Array, frame: pa.Array) -> pa.Array:
+    """Pictures of 6 by 9 pixels, each channel counted on from the video and the frame."""
+    at = [v.to_numpy(zero_copy_only=False)[:, None, None, None] for v in (video, frame)]
+    y, x, c = np.ogrid[:6, :9, :3]
+    rgb = ((at[0] * 31 + at[1] * 7 + x * 5 + y * 11 + c * 17) % 256).astype(np.uint8)
+    return pa.array([r.tobytes() for r in rgb.reshape(len(rgb), -1)], pa.binary())
+
+
+def _bytes_sum(rgb: pa.Array) -> pa.Array:
+    offsets = np.frombuffer(rgb.buffers()[1], np.int32)[rgb.offset : rgb.offset + len(rgb) + 1]
+    sums = np.concatenate([[0], np.cumsum(np.frombuffer(rgb.buffers()[2], np.uint8), dtype=np.int64)])
+    return pa.array(sums[offsets[1:]] - sums[offsets[:-1]])
+
+
+def _frame_store(spark, sf_dir):
+    """Pictures that have a time, numbered from 0 in the order of time, one file each."""
+    frame_files.register(spark)
+    path = scratch.new_path(spark, "frames")
     by_time = Window.partitionBy("video_id").orderBy("frame_idx")
-    _pictures(spark, sf_dir).withColumn("stored_idx", (F.row_number().over(by_time) - 1).cast("long")).write.parquet(path)
-    n = spark.read.parquet(path).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames"), F.max("stored_idx").alias("last_idx"))
-    return n.withColumn("complete", F.lit(track_cache.complete(spark, path)))
+    numbered = _pictures(spark, sf_dir).withColumn("at", (F.row_number().over(by_time) - 1).cast("long"))
+    rows = numbered.select("video_id", F.col("at").alias("frame_idx"), F.lit(6).alias("height"), F.lit(9).alias("width"), F.arrow_udf(_thumbnail, "binary")("video_id", "frame_idx").alias("rgb"))
+    frame_files.laid_out(rows, "height", int(spark.conf.get("spark.sql.shuffle.partitions"))).write.format("larkspur_frames").mode("overwrite").save(path)
+    return path
+
+
+def q_k4_frame_store(spark, sf_dir):
+    """Frames of a store, and how many its mark of completeness says there are."""
+    path = _frame_store(spark, sf_dir)
+    names = spark.read.format("larkspur_frames").schema("video_id long, frame_idx long").load(path)
+    n = names.groupBy("video_id").agg(F.max("frame_idx").alias("last_idx"))
+    counts = spark.read.format("larkspur_frame_counts").load(path)
+    return n.join(counts, "video_id", "left").select("video_id", "n_frames", "last_idx", F.coalesce(F.col("n_frames") == F.col("last_idx") + 1, F.lit(False)).alias("complete"))
+
+
+def q_s4_seek(spark, sf_dir):
+    """The picture at a place of each video: equality on the frame reaches the names, so one file of a video is opened."""
+    frames = spark.read.format("larkspur_frames").schema("video_id long, frame_idx long, height int, width int, rgb binary").load(_frame_store(spark, sf_dir))
+    return frames.where("frame_idx = 100").select("video_id", "frame_idx", "height", "width", F.arrow_udf(_bytes_sum, "long")("rgb").alias("brightness"))
 
 
 def q_s13_frame_clamp(spark, sf_dir):
     """The frames of a store that requests get, each nation asking one video for frame 7 times its key."""
-    n = q_k4_frame_store(spark, sf_dir)
+    n = spark.read.format("larkspur_frame_counts").load(_frame_store(spark, sf_dir))
     asked = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") % 12).cast("long").alias("video_id"), (F.col("n_nationkey") * 7).cast("long").alias("frame_idx"))
     return track_cache.clamped(asked, n, "video_id")
 
@@ -204,11 +257,14 @@ SELECT video_id, frame_idx FROM w WHERE taken""",
     "q_s7_rejected_inputs": f"{_PATHS} SELECT path FROM p WHERE r IN (2, 3, 5)",
     "q_s8_images": f"{_PATHS} SELECT path FROM p WHERE r IN (2, 3, 5)",
     "q_s16_references": "SELECT CAST(s_nationkey AS BIGINT) AS gid, min(s_name) AS path FROM supplier GROUP BY s_nationkey",
-    "q_k3_track_cache": f"""WITH {DET_SQL} SELECT video_id, frame_idx, obj_id, gid, x1, y2, CASE WHEN k % 4 <> 0 THEN x1 || ',' || (y2 - y1) || ',' || k END AS mask,
+    "q_k3_track_cache": f"""WITH {DET_SQL} SELECT video_id, frame_idx, obj_id, gid, x1, y2, CASE WHEN k % 4 <> 0 THEN (x1 * 1000 + y1) || ',' || (y2 - y1) || ',' || (2000000 - x1 * 1000 - y2) END AS mask,
  CASE WHEN k % 3 = 0 THEN round(x1 / 2.0::DOUBLE, 6) END AS joint, CASE WHEN k % 8 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'face' ELSE 'body' END END AS path,
  CASE WHEN k % 8 <> 0 AND k % 5 <> 0 THEN round(score / 2, 6) END AS second_sim, CASE WHEN k % 8 <> 0 THEN k % 10 = 0 END AS operator FROM mat""",
     "q_s11_cache_meta": f"WITH {DET_SQL} SELECT video_id, frame_idx, obj_id, gid, k % 4 <> 0 AS has_mask FROM mat",
     "q_s10_cache_frames": f"WITH {DET_SQL} SELECT DISTINCT video_id, frame_idx, lpad(CAST(frame_idx AS VARCHAR), 6, '0') || '.npz' AS name FROM mat",
+    "q_s12_cached_range": f"WITH {DET_SQL} SELECT video_id, frame_idx, obj_id, CASE WHEN k % 4 <> 0 THEN y2 - y1 END AS area FROM mat WHERE video_id < 5 AND frame_idx BETWEEN 100 AND 199",
+    "q_s4_seek": f"""WITH {DET_SQL}, {_PICS}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS place FROM pics)
+SELECT video_id, place AS frame_idx, 6::INT AS height, 9::INT AS width, CAST(sum((video_id * 31 + frame_idx * 7 + x * 5 + y * 11 + c * 17) % 256) AS BIGINT) AS brightness FROM o, range(9) a(x), range(6) b(y), range(3) d(c) WHERE place = 100 GROUP BY video_id, place""",
     "q_f32_meta_json": f"WITH {DET_SQL} SELECT video_id, frame_idx, obj_id, CASE WHEN k % 8 <> 0 THEN 'assignment' END AS tag, CASE WHEN k % 8 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'face' ELSE 'body' END END AS path, TRUE AS other_is_null FROM mat",
     "q_k4_frame_store": f"WITH {DET_SQL}, {_PICS} SELECT video_id, count(*) AS n_frames, count(*) - 1 AS last_idx, TRUE AS complete FROM pics GROUP BY video_id",
     "q_s13_frame_clamp": f"""WITH {DET_SQL}, {_PICS}, n AS (SELECT video_id, count(*) AS n_frames FROM pics GROUP BY video_id)
