@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from . import intervals
 
 
 def chunk_members(frames: DataFrame, key: str, size: int = 25, overlap: int = 4) -> DataFrame:
@@ -60,9 +61,9 @@ def planned(segments: DataFrame, keys: list[str], length: int = 49, overlap: int
 
 
 def window_rows(segments: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
-    """The segmented rows of each window: windows list their positions, at most two for each row, and meet rows by key and position."""
-    slots = plan.select(*keys, "segment", "window_idx", "start_pos", "end_pos", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"))
-    return slots.join(segments, [*keys, "segment", "pos"])
+    """The segmented rows of each window, at most two for each row."""
+    slots = plan.select(*keys, "segment", "window_idx", "start_pos", "end_pos")
+    return intervals.points_in(segments, slots, [*keys, "segment"], "pos", "start_pos", "end_pos")
 
 
 def crop_boxes(rows: DataFrame, keys: list[str], pad: float = 0.10, height: float = 832.0) -> DataFrame:

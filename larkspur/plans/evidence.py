@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, geom, vec
-from ..operators import evidence, matching, prefix, sequence
+from ..operators import evidence, greedy, intervals, matching, prefix, sequence
 from ..sources import bridge, records
 from ..sources.bridge import DET_SQL, GALLERY_SQL
 from .geometry import q_p18_mask_sanity
@@ -236,34 +236,71 @@ def _planned(spark, sf_dir):
     return sequence.planned(sequence.segmented(bridge.detections(spark, sf_dir), OBJ, BRIDGE), OBJ)
 
 
-def _slots(spark, sf_dir):
-    return _planned(spark, sf_dir).select(*OBJ, "segment", "window_idx", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"))
+def _in_windows(spark, sf_dir, rows="true"):
+    """Rows of segments with the windows that hold their place."""
+    seg = sequence.segmented(bridge.detections(spark, sf_dir), OBJ, BRIDGE)
+    points = seg.where(rows).select(*OBJ, "segment", "pos")
+    return intervals.points_in(points, sequence.planned(seg, OBJ), [*OBJ, "segment"], "pos", "start_pos", "end_pos")
 
 
 def q_j24_window_owners(spark, sf_dir):
     """The windows that hold each position, one or two."""
-    return _slots(spark, sf_dir).groupBy(*OBJ, "segment", "pos").agg(F.min("window_idx").alias("first"), F.max("window_idx").alias("last"), F.count(F.lit(1)).alias("n"))
+    return _in_windows(spark, sf_dir).groupBy(*OBJ, "segment", "pos").agg(F.min("window_idx").alias("first"), F.max("window_idx").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 def q_w14_reused_frames(spark, sf_dir):
     """How many positions of a window an earlier one has stored already, and those that are its own to paint."""
-    s = _slots(spark, sf_dir)
-    owned = s.groupBy(*OBJ, "segment", "pos").agg(F.min("window_idx").alias("owner"))
-    j = s.join(owned, [*OBJ, "segment", "pos"])
-    return j.groupBy(*OBJ, "segment", "window_idx").agg(F.count(F.when(F.col("owner") < F.col("window_idx"), 1)).alias("reused"), F.count(F.when(F.col("owner") == F.col("window_idx"), 1)).alias("own"))
+    earlier = Window.partitionBy(*OBJ, "segment").orderBy("window_idx").rowsBetween(Window.unboundedPreceding, -1)
+    w = _planned(spark, sf_dir).withColumn("done", F.max("end_pos").over(earlier))
+    reused = F.when(F.col("done") >= F.col("start_pos"), F.least("done", "end_pos") - F.col("start_pos") + 1).otherwise(0).cast("long")
+    return w.select(*OBJ, "segment", "window_idx", reused.alias("reused"), (F.col("end_pos") - F.col("start_pos") + 1 - reused).alias("own"))
+
+
+def q_j24_shared_windows(spark, sf_dir):
+    """Pairs of windows of a segment that share frames, and where."""
+    w = _planned(spark, sf_dir)
+    a, b = (w.select(*OBJ, "segment", F.col("window_idx").alias(n), F.col("start_pos").alias(f"s_{n}"), F.col("end_pos").alias(f"e_{n}")) for n in ("a", "b"))
+    met = intervals.overlapping(a, b, [*OBJ, "segment"], ("s_a", "s_b"), ("e_a", "e_b")).where("a < b")
+    return met.select(*OBJ, "segment", "a", "b", F.col("from").alias("first"), F.col("to").alias("last"))
 
 
 def q_u7_stored_frames(spark, sf_dir):
     """Positions of a window that are in the store, which has every third."""
-    s = _slots(spark, sf_dir)
-    stored = s.where("pos % 3 = 0").select(*OBJ, "segment", "pos").distinct()
-    return s.join(stored, [*OBJ, "segment", "pos"], "left_semi").groupBy(*OBJ, "segment", "window_idx").agg(F.count(F.lit(1)).alias("n"))
+    return _in_windows(spark, sf_dir, "pos % 3 = 0").groupBy(*OBJ, "segment", "window_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_t8_window_frames(spark, sf_dir):
     """All positions that windows of an object take, once each and in order."""
-    s = _slots(spark, sf_dir).groupBy(*OBJ, "segment").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    return s.select(*OBJ, "segment", F.md5(F.array_join(F.transform("p", lambda x: x.cast("string")), ",")).alias("positions"), F.size("p").cast("long").alias("n"))
+    s = _in_windows(spark, sf_dir).groupBy(*OBJ, "segment").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    return s.select(*OBJ, "segment", F.md5(F.array_join(F.col("p").cast("array<string>"), ",")).alias("positions"), F.size("p").cast("long").alias("n"))
+
+
+def _changed(spark, sf_dir):
+    """(video_id, frame_idx, new or gone objects with their boxes): those that a frame shows and the one before doesn't, and the other way round."""
+    d = bridge.detections(spark, sf_dir).select(*FRAME, "obj_id", "x1", "y1", "x2", "y2")
+    back, on = d.withColumn("frame_idx", F.col("frame_idx") - 1), d.withColumn("frame_idx", F.col("frame_idx") + 1)
+    key = [*FRAME, "obj_id"]
+    return d.join(on, key, "left_anti"), d.join(back, key, "left_anti").withColumn("frame_idx", F.col("frame_idx") + 1)
+
+
+def _candidates(spark, sf_dir):
+    new, gone = _changed(spark, sf_dir)
+    gone = gone.select(*FRAME, F.col("obj_id").alias("lost"), *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")])
+    return new.join(gone, FRAME).where((F.col("x1") < F.col("l_x2")) & (F.col("l_x1") < F.col("x2")) & (F.col("y1") < F.col("l_y2")) & (F.col("l_y1") < F.col("y2")))
+
+
+def q_j15_revival(spark, sf_dir):
+    """Objects that just appeared and those that just went, matched by overlap in twentieths, greatest first; of equals by number."""
+    p = _candidates(spark, sf_dir).withColumn("overlap", F.floor(geom.iou(geom.box(), geom.box("l_")) * 20 + 1e-9).cast("long")).where("overlap > 0")
+    return greedy.matched(p.select(*FRAME, "obj_id", "lost", "overlap"), FRAME, "obj_id", "lost", F.col("overlap"))
+
+
+def q_j16_same_place(spark, sf_dir):
+    """The same by distance, at most 150, nearest first; of equals the smaller numbers."""
+    apart = geom.centre_distance(geom.box(), geom.box("l_"))
+    p = _candidates(spark, sf_dir).withColumn("distance", F.floor(apart / 10 + 1e-9).cast("long")).where("distance <= 15")
+    p = p.select(*FRAME, (-F.col("obj_id")).alias("r"), (-F.col("lost")).alias("c"), "distance")
+    return greedy.matched(p, FRAME, "r", "c", -F.col("distance")).select(*FRAME, (-F.col("r")).alias("obj_id"), (-F.col("c")).alias("lost"), "distance")
 
 
 def q_k8_pool_telemetry(spark, sf_dir):
@@ -347,6 +384,21 @@ _COSTS = f"""{_CAND}, cs AS (SELECT *, (event_id + gid) % 4 AS s, CASE WHEN (eve
  bb AS (SELECT *, CASE WHEN warm_won THEN warm ELSE cos END AS blend_sim, CASE WHEN warm_won THEN warm >= 0.2::DOUBLE ELSE true END AS blend_ok FROM bs)"""
 _SLOTS = f"{DET_SQL}, {_SEG}, {_WIN}, sl AS (SELECT video_id, obj_id, segment, window_idx, unnest(generate_series(start_pos, end_pos)) AS pos FROM win)"
 
+
+def _greedy(order: str, value: str, keep: str, name: str) -> str:
+    """The sequential rule: pairs in order, with lists of what is taken."""
+    box = ", ".join(f"{c} AS l_{c}" for c in ("x1", "y1", "x2", "y2"))
+    return f"""WITH RECURSIVE {DET_SQL}, new AS (SELECT * FROM det ANTI JOIN (SELECT video_id, frame_idx + 1 AS frame_idx, obj_id FROM det) USING (video_id, frame_idx, obj_id)),
+ gone AS (SELECT video_id, frame_idx + 1 AS frame_idx, obj_id AS lost, {box} FROM det ANTI JOIN (SELECT video_id, frame_idx - 1 AS frame_idx, obj_id FROM det) USING (video_id, frame_idx, obj_id)),
+ m AS (SELECT *, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS n1, (l_x2 - l_x1) * (l_y2 - l_y1) AS n2, CAST((least(x2, l_x2) - greatest(x1, l_x1)) * (least(y2, l_y2) - greatest(y1, l_y1)) AS DOUBLE) AS inter
+  FROM new JOIN gone USING (video_id, frame_idx) WHERE x1 < l_x2 AND l_x1 < x2 AND y1 < l_y2 AND l_y1 < y2),
+ v AS (SELECT *, CAST({value} AS BIGINT) AS {name} FROM m), o AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY {order}) AS i FROM v WHERE {keep.replace("v ", name + " ")}),
+ w AS (SELECT DISTINCT video_id, frame_idx, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ur, CAST([] AS BIGINT[]) AS uc, CAST(NULL AS BIGINT) AS obj_id, CAST(NULL AS BIGINT) AS lost, CAST(NULL AS BIGINT) AS {name} FROM o
+  UNION ALL SELECT video_id, frame_idx, i, CASE WHEN free THEN list_append(ur, r) ELSE ur END, CASE WHEN free THEN list_append(uc, c) ELSE uc END, CASE WHEN free THEN r END, CASE WHEN free THEN c END, CASE WHEN free THEN n END
+  FROM (SELECT w.video_id, w.frame_idx, o.i, w.ur, w.uc, o.obj_id AS r, o.lost AS c, o.{name} AS n, NOT list_contains(w.ur, o.obj_id) AND NOT list_contains(w.uc, o.lost) AS free FROM w JOIN o ON o.video_id = w.video_id AND o.frame_idx = w.frame_idx AND o.i = w.i + 1))
+SELECT video_id, frame_idx, obj_id, lost, {name} FROM w WHERE obj_id IS NOT NULL"""
+
+
 SQL = {
     "q_p8_best_face": f"""WITH {DET_SQL}, {_FACES}, w AS (SELECT * FROM fc QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY width DESC, face) = 1)
 SELECT d.event_id, CASE WHEN w.width >= 40 THEN w.face END AS face, coalesce(w.width >= 40 AND w.score >= 0.6, false) AS sample FROM det d LEFT JOIN w USING (event_id)""",
@@ -396,6 +448,10 @@ SELECT event_id, gid, round(CASE WHEN blocked THEN 1e6::DOUBLE WHEN by_face THEN
   WHEN NOT blend_ok THEN 1e6::DOUBLE WHEN gid % 2 = 0 THEN 0.8::DOUBLE * (1 - blend_sim) + (1 - 0.8::DOUBLE) * k / 100.0::DOUBLE ELSE 1 - blend_sim END, 6) AS cost,
  blocked OR CASE WHEN by_face THEN warm_won AND warm < 0.2::DOUBLE ELSE NOT blend_ok END AS masked FROM p""",
     "q_f11_inherit_bonus": f"WITH {_COSTS} SELECT event_id, gid, round(CASE WHEN s = 1 THEN 0.5::DOUBLE * cos WHEN s >= 2 THEN 0.1::DOUBLE * cos ELSE 0 END, 6) AS bonus FROM cs",
+    "q_j24_shared_windows": f"""WITH {DET_SQL}, {_SEG}, {_WIN} SELECT a.video_id, a.obj_id, a.segment, a.window_idx AS a, b.window_idx AS b, greatest(a.start_pos, b.start_pos) AS first, least(a.end_pos, b.end_pos) AS last
+FROM win a JOIN win b ON a.video_id = b.video_id AND a.obj_id = b.obj_id AND a.segment = b.segment AND a.window_idx < b.window_idx AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos""",
+    "q_j15_revival": _greedy("overlap DESC, obj_id DESC, lost DESC", "floor(inter / (n1 + n2 - inter) * 20 + 1e-9)", "v > 0", "overlap"),
+    "q_j16_same_place": _greedy("distance, obj_id, lost", "floor(sqrt(pow((x1 + x2) / 2.0 - (l_x1 + l_x2) / 2.0, 2) + pow((y1 + y2) / 2.0 - (l_y1 + l_y2) / 2.0, 2)) / 10 + 1e-9)", "v <= 15", "distance"),
     "q_j24_window_owners": f"WITH {_SLOTS} SELECT video_id, obj_id, segment, pos, min(window_idx) AS first, max(window_idx) AS last, count(*) AS n FROM sl GROUP BY video_id, obj_id, segment, pos",
     "q_w14_reused_frames": f"""WITH {_SLOTS}, o AS (SELECT *, min(window_idx) OVER (PARTITION BY video_id, obj_id, segment, pos) AS owner FROM sl)
 SELECT video_id, obj_id, segment, window_idx, count(*) FILTER (owner < window_idx) AS reused, count(*) FILTER (owner = window_idx) AS own FROM o GROUP BY video_id, obj_id, segment, window_idx""",
