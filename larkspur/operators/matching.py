@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geom, vec
 
 GALLERY_BLOCK = 1024  # identities of one broadcast row: a gallery is a closed registry, and larger ones come in blocks
+MOST = 100_000  # identities that are sent to all tasks as rows
 CELL = 512  # pixels of a grid cell
 
 
@@ -17,7 +18,13 @@ def blocks(gallery: DataFrame, block: int = GALLERY_BLOCK) -> DataFrame:
 
 
 def similarities(rows: DataFrame, gallery: DataFrame, vector: str, name: str = "sims") -> DataFrame:
-    """Every row against the gallery, the stated query set: one row per block with array<struct<cos, gid>>. Nothing of rows is shuffled."""
+    """Every row against the gallery, the stated query set: one row per block with array<struct<cos, gid>>. Nothing of rows is shuffled.
+
+    For galleries that all tasks may hold, as expressions; ``operators.gallery`` has matrix products, and a way for larger ones.
+    """
+    n = gallery.count()
+    if n > MOST:
+        raise ValueError(f"{n} identities are more than the {MOST} that are sent to all tasks: use operators.gallery")
     with_members = rows.join(F.broadcast(blocks(gallery)))
     sims = F.transform("members", lambda m: F.struct(vec.dot(F.col(vector), m["centroid"]).alias("cos"), m["gid"].alias("gid")))
     return with_members.withColumn(name, sims).drop("members")
@@ -29,26 +36,6 @@ def merged(sims: DataFrame, keys: list[str], name: str = "sims") -> DataFrame:
     return sims.groupBy(*keys).agg(every.alias(name))
 
 
-def best_two(sims: Column) -> tuple[Column, Column, Column]:
-    """(gid, similarity, second-best similarity) of array<struct<cos, gid>>; ties go to the lower gid, second is null if there is none."""
-    top = F.array_max(F.transform(sims, lambda s: F.struct(s["cos"].alias("cos"), (-s["gid"]).alias("neg"))))
-    second = F.array_max(F.transform(F.filter(sims, lambda s: s["gid"] != -top["neg"]), lambda s: s["cos"]))
-    return -top["neg"], top["cos"], second
-
-
-def top_two(rows: DataFrame, gallery: DataFrame, vector: str, keys: list[str]) -> DataFrame:
-    """(keys, gid, assigned_sim, second_best_sim, n_identities) of each row, over all blocks of the gallery.
-
-    Each block gives its best two, which is enough for the best two of all; they meet by key after a partial aggregate.
-    """
-    sims = similarities(rows, gallery, vector)
-    gid, best, second = best_two(F.col("sims"))
-    part = sims.select(*keys, gid.alias("g"), best.alias("b"), second.alias("s"), F.size("sims").cast("long").alias("n"))
-    agg = part.groupBy(*keys).agg(F.max(F.struct(F.col("b"), (-F.col("g")).alias("neg"), F.col("s"))).alias("top"), F.sum("n").alias("n_identities"), F.collect_list(F.struct("b", "g")).alias("firsts"))
-    others = F.array_max(F.transform(F.filter("firsts", lambda f: f["g"] != -F.col("top.neg")), lambda f: f["b"]))
-    return agg.select(*keys, (-F.col("top.neg")).alias("gid"), F.col("top.b").alias("assigned_sim"), F.greatest(F.col("top.s"), others).alias("second_best_sim"), "n_identities")
-
-
 def overlapping_pairs(rows: DataFrame, by: list[str], key: str, cell: int = CELL) -> DataFrame:
     """(by, a, b, iou) for pairs a < b of boxes in the same group that overlap.
 

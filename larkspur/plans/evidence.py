@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, geom, vec
-from ..operators import evidence, greedy, intervals, matching, prefix, sequence
+from ..operators import evidence, gallery, greedy, intervals, matching, prefix, sequence
 from ..sources import bridge, records
 from ..sources.bridge import DET_SQL, GALLERY_SQL
 from .geometry import q_p18_mask_sanity
@@ -78,8 +78,8 @@ def q_a3_body_mean(spark, sf_dir):
 
 def _own_cosine(spark, sf_dir):
     """Detections with the cosine of what they show and the identity they are matched with, an operator's mark and a streak."""
-    sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
-    own = sims.select("vec_id", F.inline("sims"), F.col("label")).where("gid = label").select("vec_id", F.round("cos", 9).alias("cos"))
+    sims = gallery.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id", "label"])
+    own = sims.where("gid = label").select("vec_id", F.round("cos", 9).alias("cos"))
     m = bridge.matched(spark, sf_dir).join(own, "vec_id")
     sane = q_p18_mask_sanity(spark, sf_dir).withColumnRenamed("reason", "insane")
     return m.join(sane, [*FRAME, "obj_id"]).withColumns({"operator": F.col("k") % 10 == 0, "low": F.when(F.col("k") % 6 == 0, 1).otherwise(0), "lost": F.when(F.col("k") % 8 == 1, 1).otherwise(0)})
@@ -171,7 +171,7 @@ def q_j11_still_ids(spark, sf_dir):
     det = _with_vectors(spark, sf_dir)
     faces = det.where("k % 2 = 0").select(*FRAME, "obj_id", "x1", "y1", (F.col("x1") + 20 + F.col("k") / 4).alias("x2"), (F.col("y1") + 40).alias("y2"))
     found = matching.faces_of(det, faces, FRAME, "obj_id")
-    top = matching.top_two(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id"]).select("vec_id", F.col("gid").alias("best"), "assigned_sim")
+    top = gallery.top_two(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id"]).select("vec_id", F.col("gid").alias("best"), "assigned_sim")
     shown = det.select(*FRAME, F.col("obj_id").alias("face"), "vec_id").join(top, "vec_id").select(*FRAME, "face", "best", F.round("assigned_sim", 6).alias("cos"))
     j = found.join(shown, [*FRAME, "face"], "left")
     return j.select(*FRAME, "obj_id", "cos", F.when(F.col("cos") >= 0.3, F.col("best")).otherwise(F.lit(-1).cast("long")).alias("gid"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import gates, matching, prefix
+from ..operators import gallery, gates, matching, prefix
 from ..sources import bridge
 from ..sources.bridge import GALLERY_SQL
 
@@ -19,12 +19,12 @@ def q_a1_centroids(spark, sf_dir):
 
 
 def q_j9_similarity(spark, sf_dir):
-    sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
-    return sims.select("vec_id", F.explode("sims").alias("s")).select("vec_id", "s.gid", F.round("s.cos", 6).alias("cos"))
+    sims = gallery.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id"])
+    return sims.select("vec_id", "gid", F.round("cos", 6).alias("cos"))
 
 
 def _top(spark, sf_dir):
-    return matching.top_two(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id", "label"])
+    return gallery.top_two(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id", "label"])
 
 
 def q_p6_confidence_gate(spark, sf_dir):
@@ -46,11 +46,8 @@ def q_p14_ambiguity(spark, sf_dir):
 
 def q_a4_column_winner(spark, sf_dir):
     """The one vector with the strictly highest cosine of each identity; none on a tie."""
-    sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
-    flat = sims.select("vec_id", F.inline("sims"))
-    # Of equal cosines the largest and the smallest vec_id; they differ on a tie. One aggregate, combined before the shuffle.
-    best = flat.groupBy("gid").agg(F.max(F.struct("cos", "vec_id")).alias("hi"), F.max(F.struct("cos", (-F.col("vec_id")).alias("neg"))).alias("lo"))
-    return best.select("gid", F.round("hi.cos", 6).alias("best"), F.when(F.col("hi.vec_id") == -F.col("lo.neg"), F.col("hi.vec_id")).alias("winner"))
+    best = gallery.column_winners(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", "vec_id")
+    return best.select("gid", F.round("best", 6).alias("best"), "winner")
 
 
 def q_a7_pool_stats(spark, sf_dir):
