@@ -187,9 +187,8 @@ def q_j12_photo_person(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    sims = matching.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding")
-    d = bridge.detections(spark, sf_dir).where("k % 10 = 0").select("event_id", "k", "vec_id")
-    return d.join(sims.select("vec_id", F.inline("sims")), "vec_id")
+    sims = gallery.similarities(bridge.vectors(spark, sf_dir), bridge.gallery(spark, sf_dir), "embedding", ["vec_id"])
+    return bridge.detections(spark, sf_dir).select("event_id", "k", "vec_id").join(sims, "vec_id")
 
 
 def q_j21_allowed_pairs(spark, sf_dir):
@@ -283,7 +282,7 @@ def _changed(spark, sf_dir):
     return d.join(on, key, "left_anti"), d.join(back, key, "left_anti").withColumn("frame_idx", F.col("frame_idx") + 1)
 
 
-def _candidates(spark, sf_dir):
+def _near_pairs(spark, sf_dir):
     new, gone = _changed(spark, sf_dir)
     gone = gone.select(*FRAME, F.col("obj_id").alias("lost"), *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")])
     return new.join(gone, FRAME).where((F.col("x1") < F.col("l_x2")) & (F.col("l_x1") < F.col("x2")) & (F.col("y1") < F.col("l_y2")) & (F.col("l_y1") < F.col("y2")))
@@ -291,14 +290,14 @@ def _candidates(spark, sf_dir):
 
 def q_j15_revival(spark, sf_dir):
     """Objects that just appeared and those that just went, matched by overlap in twentieths, greatest first; of equals by number."""
-    p = _candidates(spark, sf_dir).withColumn("overlap", F.floor(geom.iou(geom.box(), geom.box("l_")) * 20 + 1e-9).cast("long")).where("overlap > 0")
+    p = _near_pairs(spark, sf_dir).withColumn("overlap", F.floor(geom.iou(geom.box(), geom.box("l_")) * 20 + 1e-9).cast("long")).where("overlap > 0")
     return greedy.matched(p.select(*FRAME, "obj_id", "lost", "overlap"), FRAME, "obj_id", "lost", F.col("overlap"))
 
 
 def q_j16_same_place(spark, sf_dir):
     """The same by distance, at most 150, nearest first; of equals the smaller numbers."""
     apart = geom.centre_distance(geom.box(), geom.box("l_"))
-    p = _candidates(spark, sf_dir).withColumn("distance", F.floor(apart / 10 + 1e-9).cast("long")).where("distance <= 15")
+    p = _near_pairs(spark, sf_dir).withColumn("distance", F.floor(apart / 10 + 1e-9).cast("long")).where("distance <= 15")
     p = p.select(*FRAME, (-F.col("obj_id")).alias("r"), (-F.col("lost")).alias("c"), "distance")
     return greedy.matched(p, FRAME, "r", "c", -F.col("distance")).select(*FRAME, (-F.col("r")).alias("obj_id"), (-F.col("c")).alias("lost"), "distance")
 
@@ -378,7 +377,7 @@ _CHALLENGE = f"""{GALLERY_SQL}, {DET_SQL}, sr AS (SELECT vec_id, gid, round(cos,
  rv AS (SELECT m.video_id, m.frame_idx, s.gid, max(s.cos) AS challenger FROM mat m JOIN sr s USING (vec_id) WHERE m.score < 0.5 GROUP BY ALL),
  ch AS (SELECT m.video_id, m.frame_idx, m.obj_id, m.gid, s.cos AS own, rv.challenger FROM mat m JOIN sr s ON s.vec_id = m.vec_id AND s.gid = m.gid
    LEFT JOIN rv ON rv.video_id = m.video_id AND rv.frame_idx = m.frame_idx AND rv.gid = m.gid WHERE m.score >= 0.5)"""
-_CAND = f"{GALLERY_SQL}, {DET_SQL}, cd0 AS (SELECT d.event_id, d.k, s.gid, round(s.cos, 9) AS cos FROM det d JOIN sims s USING (vec_id) WHERE d.k % 10 = 0)"
+_CAND = f"{GALLERY_SQL}, {DET_SQL}, cd0 AS (SELECT d.event_id, d.k, s.gid, round(s.cos, 9) AS cos FROM det d JOIN sims s USING (vec_id))"
 _COSTS = f"""{_CAND}, cs AS (SELECT *, (event_id + gid) % 4 AS s, CASE WHEN (event_id + gid) % 4 <> 0 THEN round(cos + ((event_id + gid) % 4) * 0.2::DOUBLE - 0.3::DOUBLE, 9) END AS warm, (k + gid) % 7 AS size FROM cd0),
  bs AS (SELECT *, CASE WHEN warm IS NULL OR size < 3 THEN 0 ELSE warm END AS warm_sim, warm IS NOT NULL AND size >= 3 AND warm >= 0.2::DOUBLE AS warm_ok, coalesce(warm > cos, false) AS warm_won FROM cs),
  bb AS (SELECT *, CASE WHEN warm_won THEN warm ELSE cos END AS blend_sim, CASE WHEN warm_won THEN warm >= 0.2::DOUBLE ELSE true END AS blend_ok FROM bs)"""

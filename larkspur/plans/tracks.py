@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..operators import gates, sequence
+from ..operators import checks, gates, sequence
 from ..sources import bridge
 from ..sources.bridge import DET_SQL
 
@@ -39,8 +39,9 @@ def _overrides(d):
 
 
 def q_j23_overrides(spark, sf_dir):
+    """Operators' identities over those that were found. An override of an object that isn't there would end the job."""
     m = bridge.matched(spark, sf_dir)
-    return m.join(_overrides(m), [*KEY, "obj_id"], "left").select(*KEY, "obj_id", F.coalesce("set_gid", "gid").alias("gid"), F.col("set_gid").isNotNull().alias("operator_assigned"))
+    return checks.overridden(m.select(*KEY, "obj_id", "gid"), _overrides(m), [*KEY, "obj_id"])
 
 
 def q_p25_mapping_errors(spark, sf_dir):
@@ -78,6 +79,14 @@ def q_s9_gallery_ids(spark, sf_dir):
     return names.select("name", (F.dense_rank().over(Window.orderBy("name")) - 1).cast("long").alias("gid"))
 
 
+def q_s9_checked_gallery(spark, sf_dir):
+    """Identities that customers stand for, each with its images and their faces. One without would end the job."""
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("folder"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").join(F.broadcast(names), "c_nationkey")  # 25 nations
+    faces = c.select(F.col("c_name").alias("path"), F.explode(F.sequence(F.lit(1), F.when(F.col("c_custkey") % 3 == 0, 2).otherwise(1))))
+    return checks.gallery(c.select("folder"), c.select("folder", F.col("c_name").alias("path")), faces)
+
+
 def q_s15_prompts(spark, sf_dir):
     names = q_s9_gallery_ids(spark, sf_dir)
     prompts = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("gid"), F.when(F.col("r_regionkey") != 1, F.concat(F.lit(" "), "r_name")).alias("prompt"))
@@ -128,6 +137,7 @@ SELECT video_id, gid, 'duplicate' AS error FROM o GROUP BY video_id, gid HAVING
     "q_u2_absent_objects": f"WITH {DET_SQL} SELECT DISTINCT video_id, obj_id, frame_idx // 25 AS chunk_id FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.video_id = a.video_id AND b.obj_id = a.obj_id AND b.frame_idx // 25 = a.frame_idx // 25 + 1)",
     "q_k7_pending_windows": f"WITH {DET_SQL}, {_SEG}, {_WIN} SELECT * FROM win WHERE (video_id + obj_id + window_idx) % 3 <> 0",
     "q_s9_gallery_ids": "SELECT n_name AS name, dense_rank() OVER (ORDER BY n_name) - 1 AS gid FROM nation",
+    "q_s9_checked_gallery": "SELECT dense_rank() OVER (ORDER BY n_name) - 1 AS gid, n_name AS folder, count(*) AS n_images, CAST(sum(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_faces FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name",
     "q_s15_prompts": "SELECT g.gid, CASE WHEN r_name IS NULL OR g.gid = 1 THEN 'a person' ELSE r_name END AS prompt FROM (SELECT dense_rank() OVER (ORDER BY n_name) - 1 AS gid FROM nation) g LEFT JOIN region ON r_regionkey = g.gid",
     "q_f28_captions": f"WITH {DET_SQL} SELECT event_id, '#' || obj_id || CASE WHEN gid > 0 THEN ' id' || lpad(CAST(gid AS VARCHAR), 3, '0') ELSE '' END || ' ' || (k + 1) || '%' AS caption FROM mat",
     "q_f34_config_hash": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, substr(sha1('{"brand":"' || p_brand || '","size":"' || p_size || '"}'), 1, 8) AS name FROM part""",
