@@ -30,7 +30,7 @@ class Params:
     epochs: int = 10
     rate: float = 40.0  # falls to nothing; a bucket's step is its share of the document times this
     seed: int = 7
-    cache: int = 200_000  # words whose sums a task remembers
+    cache: int = 100_000  # words whose sums a task remembers
 
 
 def features(word: str, p: Params) -> list[int]:
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, floa
 
     The sample is bounded by ``p.rows`` and ``p.longest``: of a doc_id that several rows of docs share, the least text
     counts; labelled texts over ``p.longest`` characters are left out. Null doc_ids and labels teach nothing, a doc_id with both labels
-    teaches both. Bags are made in tasks and written; the driver streams what training keeps of them, packed: buckets
+    teaches both. Bags are made in tasks and written; one task trains on what it keeps of them, packed: buckets
     that ``p.least`` texts of the sample have (a fiftieth of a small sample).
     """
     usable = labels.where(f"toxic in (0, 1) and doc_id is not null and not {HELD_OUT}").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
@@ -136,13 +136,23 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, floa
     for row in texts_of.where(F.col("count") >= min(p.least, max(1, bags.count() // 50))).select("id").toLocalIterator():
         known[row["id"]] = True
     packed = bags.mapInArrow(_packed(shared(docs.sparkSession, known)), _PACKED).where(F.length("ids") > 0)
-    rows = sorted(((r["doc_id"], r["toxic"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["share"], "<f4")) for r in _streamed(packed)), key=lambda r: r[:2])
-    return train([r[2:] for r in rows], np.array([r[1] for r in rows], int), p)
+    model = packed.repartition(1).mapInArrow(_trained(p), "logits binary, bias double").first()
+    if model is None:  # nothing to learn from
+        return train([], np.empty(0, int), p)
+    return np.frombuffer(model["logits"], "<f8"), model["bias"]
 
 
-def _streamed(packed: DataFrame):
-    """Row by row, one partition at a time: the driver's JVM never holds the sample."""
-    return packed.toLocalIterator(prefetchPartitions=False)
+def _trained(p: Params):
+    """The bounded sample in one task, which learns and gives the model alone: a lost executor costs a retry, and the driver holds no bags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+        rows = [(d.as_py(), k.as_py(), view(i, "<i4"), view(w, "<f4")) for b in batches for d, k, i, w in zip(*b.columns, strict=True)]
+        rows.sort(key=lambda r: r[:2])
+        logits, bias = train([r[2:] for r in rows], np.array([r[1] for r in rows], int), p)
+        yield pa.RecordBatch.from_arrays([pa.array([logits.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], names=["logits", "bias"])
+
+    return run
 
 
 def _scorer(table, bias: float, p: Params, text: int):
