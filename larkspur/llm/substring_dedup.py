@@ -189,24 +189,22 @@ def _contexts(wanted, hot):
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
-
-        def add(*columns) -> None:
-            for o, v in zip(out, columns, strict=True):
-                o.extend(v)
-
+        out, n = [], 0
         for doc, tie, text in _texts(batches):
             for p in _pieces(text):
                 own = _spans_of(p.start[p.again], p.end[p.again])
                 g, m = p.g[p.first], len(p.first)
                 take = has_bit(wanted.value, _row_hash(g, np.full(m, doc, np.int64), np.full(m, tie, np.int32), p.pos[p.first].astype(np.int32)))
                 by_hash = has_bit(hot.value, g)
-                few = p.first[take & ~by_hash].tolist()
-                add([int(p.g[j]) for j in few], [None] * len(few), [doc] * len(few), [tie] * len(few), p.start[few].tolist(), p.end[few].tolist(), [text[p.start[j] : p.end[j]].tobytes() for j in few])
+                few = p.first[take & ~by_hash]
+                if len(few):
+                    start, sizes = p.start[few], p.end[few] - p.start[few]
+                    at = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+                    out.append((doc, tie, start, p.end[few], p.g[few], None, text[at]))
                 many = p.first[take & by_hash]
                 if len(many):
-                    n = p.end[many] - p.start[many] - LENGTH + 1
-                    at = np.repeat(p.start[many] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
+                    size = p.end[many] - p.start[many] - LENGTH + 1
+                    at = np.repeat(p.start[many] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(int(size.sum()))
                     h = p.hashes(at - p.base, LENGTH)
                     _, one = np.unique(h, return_index=True)  # a string's first place, for at ascends with the anchors
                     later = np.setdiff1d(np.arange(len(at)), one)
@@ -215,17 +213,31 @@ def _contexts(wanted, hot):
                     at, h = at[one], h[one]
                     half = LENGTH // 2
                     other = mix(p.hashes(at - p.base, half) * _M[0] ^ p.hashes(at - p.base + half, LENGTH - half))
-                    add(h.view(np.int64).tolist(), other.view(np.int64).tolist(), [doc] * len(at), [tie] * len(at), at.tolist(), (at + LENGTH).tolist(), [None] * len(at))
-                add([None] * len(own), [None] * len(own), [doc] * len(own), [tie] * len(own), [a for a, _ in own], [b for _, b in own], [None] * len(own))
-                if len(out[0]) > 20_000:
+                    out.append((doc, tie, at, at + LENGTH, h.view(np.int64), other.view(np.int64), None))
+                if own:
+                    out.append((doc, tie, *(np.array(x) for x in zip(*own, strict=True)), None, None, None))
+                n += len(few) + (len(at) if len(many) else 0) + len(own)
+                if n > 20_000:
                     yield _rows(out)
-                    out = [[] for _ in names]
-        if out[0]:
+                    out, n = [], 0
+        if out:
             yield _rows(out)
 
-    def _rows(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary())
-        return _batch(names, [pa.array(o, k) for o, k in zip(out, kinds, strict=True)])
+    def _rows(parts: list[tuple]) -> pa.RecordBatch:
+        doc, tie, start, end, g, h, data = zip(*parts, strict=True)
+        sizes = [len(x) for x in start]
+        start, end = np.concatenate(start), np.concatenate(end)
+        hashes = []
+        for column in (g, h):
+            gone = np.repeat([x is None for x in column], sizes)
+            hashes.append(pa.array(np.concatenate([np.zeros(n, np.int64) if x is None else x for x, n in zip(column, sizes, strict=True)]), mask=gone))
+        none = np.repeat([x is None for x in data], sizes)
+        offsets = np.append(0, np.cumsum(np.where(none, 0, end - start))).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.uint8), *[x for x in data if x is not None]])
+        valid = pa.array(~none).buffers()[1]
+        held = pa.Array.from_buffers(pa.binary(), len(none), [valid, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        ids = [pa.array(np.repeat(np.array(x, k), sizes)) for x, k in ((doc, np.int64), (tie, np.int32))]
+        return _batch(names, [*hashes, *ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), held])
 
     return run
 
@@ -233,8 +245,36 @@ def _contexts(wanted, hot):
 _SPAN = "doc long, tie int, start int, end int"
 
 
+def _twice(start: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number, start, bytes) of the parts cut to what strings reach whose hash is there more than once; equal strings have
+    equal hashes, so nothing that repeats is cut off."""
+    sizes = np.array([len(x) for x in parts])
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    up, down = _powers(len(flat) + 1)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    n = np.maximum(sizes - LENGTH + 1, 0)
+    part = np.repeat(np.arange(len(parts)), n)
+    place = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
+    at = place + (np.cumsum(sizes) - sizes)[part]
+    h = (sums[at + LENGTH] - sums[at]) * down[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    part, place = part[twice], place[twice]
+    head = np.flatnonzero(np.diff(part, prepend=-1))
+    tail = np.append(head[1:], len(part))[: len(head)] - 1
+    which, a, z = part[head], place[head], place[tail] + LENGTH
+    return which, start[which] + a, [parts[i][x:y] for i, x, y in zip(which.tolist(), a.tolist(), z.tolist(), strict=True)]
+
+
 def repeated_spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(doc, tie, start, end) of what strings cover that are in one of the parts at a smaller (doc, tie, place)."""
+    which, start, parts = _twice(start, parts)
+    if not parts:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    doc, tie = doc[which], tie[which]
     sizes = np.array([len(x) for x in parts])
     flat = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1)
@@ -251,6 +291,10 @@ def repeated_spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, parts: l
         return tuple(np.empty(0, np.int64) for _ in range(4))
     # Suffixes left out here are shorter than LENGTH and part no run of equal strings from itself.
     run = np.cumsum(shared[order] < LENGTH)
+    several = np.bincount(run)[run] > 1
+    run, order = run[several], order[several]
+    if not len(order):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     where = part[order]
     d, t, at = doc[where], tie[where], start[where] + offset[order]
     by = np.lexsort((at, t, d, run))

@@ -99,12 +99,12 @@ def suffix_array(s: np.ndarray, depth: int = 128) -> np.ndarray:
     is_lms[lms] = True
     rank = _names(s, lms, sorted_once[is_lms[sorted_once]])
     k, n = 1, len(lms)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while 2 * k <= depth and int(rank[order[-1]]) < n - 1:
         after = np.zeros(n, np.int64)
         after[:-k] = rank[k:] + 1
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys share a rank, so any order of them does
         rank = np.empty(n, np.int64)
         rank[order] = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
         k *= 2

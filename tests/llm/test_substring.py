@@ -93,3 +93,15 @@ def test_pieces_find_the_anchors_of_the_whole(monkeypatch):
     assert len(parts) > 10
     for name in ("pos", "g", "c", "start", "end"):
         assert np.unique(np.concatenate([getattr(p, name) for p in parts])).tolist() == np.unique(getattr(whole, name)).tolist()
+
+
+def test_only_what_repeats_is_sorted():
+    """Parts are cut to the strings that are there twice, and those without any are left out."""
+    rng = np.random.default_rng(3)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    shared = text(110)
+    parts = [text(160), text(20) + shared + text(30), text(50), text(40) + shared + text(10), text(99)]
+    which, start, cut = sd._twice(np.array([7, 100, 5, 200, 0]), parts)
+    assert (which.tolist(), start.tolist(), cut) == ([1, 3], [120, 240], [shared, shared])
+    spans = sd.repeated_spans(np.array([9, 1, 9, 4, 9]), np.zeros(5, int), np.array([7, 100, 5, 200, 0]), parts)
+    assert [x.tolist() for x in spans] == [[4], [0], [240], [350]]
