@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -282,24 +283,49 @@ def _changed(spark, sf_dir):
     return d.join(on, key, "left_anti"), d.join(back, key, "left_anti").withColumn("frame_idx", F.col("frame_idx") + 1)
 
 
-def _near_pairs(spark, sf_dir):
-    new, gone = _changed(spark, sf_dir)
-    gone = gone.select(*FRAME, F.col("obj_id").alias("lost"), *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return new.join(gone, FRAME).where((F.col("x1") < F.col("l_x2")) & (F.col("l_x1") < F.col("x2")) & (F.col("y1") < F.col("l_y2")) & (F.col("l_y1") < F.col("y2")))
+_NONE = np.iinfo(np.int64).min
+_BOX = ["x1", "y1", "x2", "y2"]
+
+
+def _met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Width and height of what boxes of a and of b share, for all pairs."""
+    return tuple(np.minimum(a[:, None, i + 2], b[None, :, i + 2]) - np.maximum(a[:, None, i], b[None, :, i]) for i in (0, 1))
+
+
+def _twentieths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap of boxes in twentieths; none under one."""
+    wide, tall = _met(a, b)
+    r, c = np.nonzero((wide > 0) & (tall > 0))
+    inter = wide[r, c] * tall[r, c]
+    size = [(x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (a, b)]
+    v = np.floor(inter / (size[0][r] + size[1][c] - inter) * 20 + 1e-9).astype(np.int64)
+    out = np.full((len(a), len(b)), _NONE)
+    out[r, c] = np.where(v > 0, v, _NONE)
+    return out
+
+
+def _nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of the centres of overlapping boxes in tens, negative; none beyond 15."""
+    wide, tall = _met(a, b)
+    r, c = np.nonzero((wide > 0) & (tall > 0))
+    dx, dy = ((a[r, i] + a[r, i + 2]) / 2.0 - (b[c, i] + b[c, i + 2]) / 2.0 for i in (0, 1))
+    v = np.floor(np.sqrt(dx * dx + dy * dy) / 10 + 1e-9).astype(np.int64)
+    out = np.full((len(a), len(b)), _NONE)
+    out[r, c] = np.where(v <= 15, -v, _NONE)
+    return out
 
 
 def q_j15_revival(spark, sf_dir):
     """Objects that just appeared and those that just went, matched by overlap in twentieths, greatest first; of equals by number."""
-    p = _near_pairs(spark, sf_dir).withColumn("overlap", F.floor(geom.iou(geom.box(), geom.box("l_")) * 20 + 1e-9).cast("long")).where("overlap > 0")
-    return greedy.matched(p.select(*FRAME, "obj_id", "lost", "overlap"), FRAME, "obj_id", "lost", F.col("overlap"))
+    new, gone = _changed(spark, sf_dir)
+    return greedy.matched_rows(new, gone.withColumnRenamed("obj_id", "lost"), FRAME, "obj_id", "lost", _BOX, _twentieths, "overlap")
 
 
 def q_j16_same_place(spark, sf_dir):
     """The same by distance, at most 150, nearest first; of equals the smaller numbers."""
-    apart = geom.centre_distance(geom.box(), geom.box("l_"))
-    p = _near_pairs(spark, sf_dir).withColumn("distance", F.floor(apart / 10 + 1e-9).cast("long")).where("distance <= 15")
-    p = p.select(*FRAME, (-F.col("obj_id")).alias("r"), (-F.col("lost")).alias("c"), "distance")
-    return greedy.matched(p, FRAME, "r", "c", -F.col("distance")).select(*FRAME, (-F.col("r")).alias("obj_id"), (-F.col("c")).alias("lost"), "distance")
+    new, gone = _changed(spark, sf_dir)
+    p = greedy.matched_rows(new.withColumn("r", -F.col("obj_id")), gone.withColumn("c", -F.col("obj_id")), FRAME, "r", "c", _BOX, _nearness, "near")
+    return p.select(*FRAME, (-F.col("r")).alias("obj_id"), (-F.col("c")).alias("lost"), (-F.col("near")).alias("distance"))
 
 
 def q_k8_pool_telemetry(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,24 @@ def test_no_row_for_each_place(spark):
     for name in ("q_j24_window_owners", "q_w14_reused_frames", "q_u7_stored_frames", "q_t8_window_frames"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(sequence(start_pos" not in plan
+
+
+@pytest.mark.parametrize("held", [5, 60, 1 << 20])
+def test_rows_and_columns_without_pairs(held):
+    """The rule over matrices of scores, whole or one score at a time, against the list of all pairs; ties are many."""
+    rng = np.random.default_rng(held)
+    for n, m in ((0, 3), (3, 0), (1, 1), (9, 14), (14, 9), (12, 12)):
+        s = np.where(rng.random((n, m)) < 0.7, rng.integers(-2, 3, (n, m)), np.iinfo(np.int64).min)
+        got = greedy.take(np.arange(n)[:, None], np.arange(m)[:, None], lambda a, b: s[np.ix_(a[:, 0], b[:, 0])], held)
+        want = assign.greedy([(int(s[i, j]), i, j) for i in range(n) for j in range(m) if s[i, j] != np.iinfo(np.int64).min])
+        assert [x[1:] for x in got] == want and all(s[i, j] == v for v, i, j in got)
+
+
+def test_matching_shuffles_rows_alone(spark):
+    """What a task gets is a group's rows and columns: the plan has no join of them, and pairs are not written."""
+    rows = spark.createDataFrame([(g, r, r) for g in range(5) for r in range(40)], "g long, r long, v long").repartition(3)
+    cols = spark.createDataFrame([(g, c, c) for g in range(1, 7) for c in range(30)], "g long, c long, v long").repartition(4)
+    out = greedy.matched_rows(rows, cols, ["g"], "r", "c", ["v"], lambda a, b: (a[:, None, 0] + b[None, :, 0]) % 7, "s")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = assign.greedy([((r + c) % 7, r, c) for r in range(40) for c in range(30)])
+    assert sorted((x.g, x.r, x.c) for x in out.collect()) == sorted((g, r, c) for g in range(1, 5) for r, c in want)
