@@ -11,30 +11,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
+from ..functions.runs import by_steps
 
 CHANNELS = ("l", "a", "b")
 MOMENTS = "struct<n:bigint,l:bigint,a:bigint,b:bigint,ll:bigint,aa:bigint,bb:bigint>"
 
 
-def _pixels(rgb, width: int) -> np.ndarray:
-    return np.clip(np.rint(masks.lab(np.frombuffer(rgb, np.uint8).reshape(-1, width, 3))), 0, 255)
+def _pixels(rgb: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(masks.lab(rgb)), 0, 255)
 
 
 def _moments(rgb: pa.Array, mask: pa.Array, width: pa.Array) -> pa.Array:
-    out = []
-    for p, m, w in zip(rgb, mask, width.to_pylist(), strict=True):
-        if not p.is_valid or not m.is_valid:
-            out.append(None)
-            continue
-        on = np.frombuffer(m.as_buffer(), np.uint8).reshape(-1, w) > 0
-        x = _pixels(p.as_buffer(), w)[on].astype(np.int64)
-        out.append(dict(zip(("n", *CHANNELS, "ll", "aa", "bb"), (len(x), *x.sum(axis=0).tolist(), *np.square(x).sum(axis=0).tolist()), strict=True)))
-    return pa.array(out, pa.struct([(n, pa.int64()) for n in ("n", *CHANNELS, "ll", "aa", "bb")]))
+    """Painted pixels alone are turned to colours, those of all pictures given at once."""
+    some, counts = np.zeros(len(rgb), bool), np.zeros(len(rgb), np.int64)
+    painted = [np.empty((0, 3), np.uint8)]
+    for i, (p, m) in enumerate(zip(rgb, mask, strict=True)):
+        if p.is_valid and m.is_valid:
+            some[i], on = True, np.frombuffer(m.as_buffer(), np.uint8) > 0
+            painted.append(np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, 3)[on])
+            counts[i] = len(painted[-1])
+    x = _pixels(np.concatenate(painted)).astype(np.int64)
+    sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(np.concatenate([x, x * x], axis=1), axis=0)])
+    ends = np.cumsum(counts)
+    of = sums[ends] - sums[ends - counts]
+    return pa.StructArray.from_arrays([pa.array(counts), *(pa.array(np.ascontiguousarray(c)) for c in of.T)], names=["n", *CHANNELS, "ll", "aa", "bb"], mask=pa.array(~some))
 
 
 def moments(rgb: Column, mask: Column, width: Column) -> Column:
     """Count, sums and sums of squares of a picture's channels where its mask (a byte per pixel) isn't zero; null without either."""
-    return F.arrow_udf(_moments, MOMENTS)(rgb, mask, width)
+    return F.arrow_udf(by_steps(_moments), MOMENTS)(rgb, mask, width)
 
 
 def stats(pictures: DataFrame, by: list[str], of: str = "moments") -> DataFrame:
@@ -64,13 +69,13 @@ def _box(height: pa.Array, width: pa.Array) -> pa.Array:
 
 def middle(height: Column, width: Column) -> Column:
     """A mask of where a reference picture shows its subject: rows from 30 to 95 in a hundred, columns from 20 to 80."""
-    return F.arrow_udf(_box, "binary")(height, width)
+    return F.arrow_udf(by_steps(_box), "binary")(height, width)
 
 
 def _matched(rgb: pa.Array, mask: pa.Array, width: pa.Array, own: pa.Array, to: pa.Array, chroma_only: bool) -> pa.Array:
     out = []
     for p, m, w, s, t in zip(rgb, mask, width.to_pylist(), own.to_pylist(), to.to_pylist(), strict=True):
-        x = _pixels(p.as_buffer(), w)
+        x = _pixels(np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, w, 3))
         on = np.frombuffer(m.as_buffer(), np.uint8).reshape(-1, w) > 0
         if s is not None and t is not None:
             x[on] = masks.match_colour(x[on], *(np.array(v, float) for v in (s[:3], s[3:], t[:3], t[3:])), chroma_only)
@@ -84,7 +89,7 @@ def matched(rgb: Column, mask: Column, width: Column, own: Column, to: Column, c
     Parts of whole numbers are cut off, but a millionth under one is one.
     """
     call = lambda a, b, c, d, e: _matched(a, b, c, d, e, chroma_only)
-    return F.arrow_udf(call, "binary")(rgb, mask, width, own, to)
+    return F.arrow_udf(by_steps(call), "binary")(rgb, mask, width, own, to)
 
 
 def six(prefix: str = "") -> Column:

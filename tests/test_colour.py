@@ -55,3 +55,33 @@ def test_middle_of_a_reference(spark):
     r = spark.range(1).select(colour.middle(F.lit(20), F.lit(10)).alias("m")).first()
     on = np.frombuffer(bytes(r.m), np.uint8).reshape(20, 10)
     assert on.sum() == 13 * 6 and on[6:19, 2:8].all()
+
+
+def test_moments_of_painted_pixels_alone():
+    """All pictures of a step at once against each by itself; null pictures and masks are null, unpainted ones zeros."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    pics = [rng.integers(0, 256, (4, 5, 3)).astype(np.uint8) for _ in range(5)]
+    on = [rng.random((4, 5)) < 0.4 for _ in pics]
+    on[2][:] = False
+    rgb = pa.array([p.tobytes() for p in pics[:4]] + [None, pics[4].tobytes()], pa.binary())
+    mask = pa.array([m.astype(np.uint8).tobytes() for m in on[:4]] + [on[4].astype(np.uint8).tobytes(), None], pa.binary())
+    got = colour._moments(rgb, mask, pa.array([5] * 6)).to_pylist()
+    for p, m, r in zip(pics[:4], on[:4], got, strict=False):
+        x = np.clip(np.rint(masks.lab(p)), 0, 255)[m].astype(int)
+        assert list(r.values()) == [len(x), *x.sum(axis=0), *np.square(x).sum(axis=0)]
+    assert got[4:] == [None, None]
+
+
+def test_pictures_are_drawn_by_steps(monkeypatch):
+    """What a kernel of pictures holds doesn't follow from the batch."""
+    import pyarrow as pa
+    from larkspur.functions import runs
+
+    seen = []
+    monkeypatch.setattr(runs, "STEP", 512)
+    f = runs.by_steps(lambda rgb, mask, width: seen.append(len(rgb)) or colour._moments(rgb, mask, width))
+    n = 1200
+    out = f(pa.array([bytes(3)] * n, pa.binary()), pa.array([b"\1"] * n, pa.binary()), pa.array([1] * n))
+    assert len(out) == n and max(seen) == 512
