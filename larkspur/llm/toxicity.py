@@ -42,6 +42,37 @@ def features(word: str, p: Params) -> list[int]:
     return out
 
 
+_CRC = np.arange(256, dtype=np.uint32)  # what a byte does to the register of zlib's checksum
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
+
+
+def word_sums(words: list[str], logits: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of logits over ``features``, how many they are) of each word; the checksums of all n-grams grow by a character at once."""
+    of = np.array([zlib.crc32(f"<{w}>".encode()) % p.buckets for w in words], np.int64)
+    sums, counts = logits[of], np.ones(len(words), np.int64)
+    data = np.frombuffer("".join(f"<{w}>" for w in words).encode(), np.uint8)
+    starts = np.flatnonzero(data & 0xC0 != 0x80)  # characters
+    size = np.diff(np.append(starts, len(data)))
+    long = np.array([len(w) + 2 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), long)
+    left = np.repeat(np.cumsum(long), long) - np.arange(len(word))  # characters from here to the word's end
+    at, crc = np.arange(len(word)), np.full(len(word), 0xFFFFFFFF, np.uint32)
+    for n in range(1, max(p.n_grams, default=0) + 1):
+        here = left[at] >= n
+        at, crc = at[here], crc[here]
+        for j in range(4):
+            some = np.flatnonzero(size[at + n - 1] > j) if j else slice(None)
+            c = crc[some]
+            crc[some] = _CRC[(c ^ data[starts[at[some] + n - 1] + j]) & 0xFF] ^ (c >> np.uint32(8))
+        if n in p.n_grams:
+            inner = long[word[at]] > n
+            w = word[at[inner]]
+            sums = sums + np.bincount(w, weights=logits[(~crc[inner]).astype(np.int64) % p.buckets], minlength=len(words))
+            counts = counts + np.bincount(w, minlength=len(words))
+    return sums, counts
+
+
 def bag(text: str, p: Params) -> Counter:
     out: Counter = Counter()
     for word, n in Counter(_WORDS.findall(text.lower())).items():
@@ -155,25 +186,42 @@ def _trained(p: Params):
     return run
 
 
+_TOGETHER = 10_000  # words whose sums are worked out together
+
+
 def _scorer(table, bias: float, p: Params, text: int):
     """Adds score to each row: a word's sum over its buckets is worked out once, a document's mean is of such sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logits, known = table.value.tolist(), {}
-        for b in batches:
-            scores = []
-            for t in (t for at in range(0, b.num_rows, 256) for t in b.column(text).slice(at, 256).to_pylist()):
+        logits, known = np.asarray(table.value), {}
+
+        def done(held: list[Counter]) -> list[float]:
+            words = set().union(*held)
+            new = [w for w in words if w not in known]
+            if len(known) + len(new) > p.cache:
+                known.clear()
+                new = list(words)
+            if new:
+                known.update(zip(new, zip(*(x.tolist() for x in word_sums(new, logits, p)), strict=True), strict=True))
+            out = []
+            for text in held:
                 total, n = 0.0, 0
-                for word, times in Counter(_WORDS.findall(t.lower())).items() if t else ():
-                    got = known.get(word)
-                    if got is None:
-                        if len(known) >= p.cache:
-                            known.clear()
-                        ids = features(word, p)
-                        got = known[word] = (sum(logits[i] for i in ids), len(ids))
+                for word, times in text.items():
+                    got = known[word]
                     total += got[0] * times
                     n += got[1] * times
-                scores.append(bias + (total / n if n else 0.0))
+                out.append(bias + (total / n if n else 0.0))
+            return out
+
+        for b in batches:
+            scores, held, size = [], [], 0
+            for t in (t for at in range(0, b.num_rows, 256) for t in b.column(text).slice(at, 256).to_pylist()):
+                held.append(Counter(_WORDS.findall(t.lower())) if t else Counter())
+                size += len(held[-1]) + 1
+                if size >= _TOGETHER:
+                    scores += done(held)
+                    held, size = [], 0
+            scores += done(held)
             z = np.clip(np.array(scores, float), -500, 500)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*b.schema.names, "__ls_score"])
 
