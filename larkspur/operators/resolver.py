@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -63,6 +64,22 @@ def _iou(a, b) -> float:
     return both / union if union > 0 else 0.0
 
 
+def _overlaps(a: list[tuple], b: list[tuple], least: float, held: int = 1 << 20) -> Iterator[tuple[float, int, int]]:
+    """(iou, place in a, place in b) of boxes that overlap by ``least`` (over 0), some of a at a time."""
+    if not a or not b:
+        return
+    x, y = np.array(a, float), np.array(b, float)
+    size_x, size_y = ((v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1]) for v in (x, y))
+    step = max(1, held // len(y))
+    for at in range(0, len(x), step):
+        p = x[at : at + step, None]
+        both = np.maximum(np.minimum(p[..., 2], y[:, 2]) - np.maximum(p[..., 0], y[:, 0]), 0) * np.maximum(np.minimum(p[..., 3], y[:, 3]) - np.maximum(p[..., 1], y[:, 1]), 0)
+        union = size_x[at : at + step, None] + size_y - both
+        iou = np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+        for i, j in zip(*(v.tolist() for v in np.nonzero(iou >= least)), strict=True):
+            yield float(iou[i, j]), at + i, j
+
+
 @dataclass
 class Binding:
     """What is known of one object: evidence sums, streaks and the identities it may not take again."""
@@ -185,7 +202,7 @@ class Resolver:
         """Objects that have just vanished lend their state to new ones where they were, best overlap first."""
         gone = [o for o, b in self.live.items() if o not in boxes and frame - b.seen <= self.p.revive_age]
         new = [o for o in boxes if o not in self.live]
-        scores = [(s, i, j) for i, o in enumerate(new) for j, g in enumerate(gone) if (s := _iou(boxes[o], self.live[g].box)) >= self.p.revive_iou]
+        scores = list(_overlaps([boxes[o] for o in new], [self.live[g].box for g in gone], self.p.revive_iou))
         for i, j in greedy(scores):
             self.live[new[i]] = self.live.pop(gone[j])
 
@@ -193,16 +210,13 @@ class Resolver:
         """At the start of a chunk ids begin anew: rows take over what was handed on, at the least total of distance less likeness."""
         if self.handed:
             cost = np.full((len(rows), len(self.handed)), INFEASIBLE)
-            for i, r in enumerate(rows):
-                for j, b in enumerate(self.handed):
-                    near = _iou(boxes[r["obj_id"]], b.box)
-                    if near >= self.p.inherit_iou:
-                        bonus = 0.0
-                        for kind, weight in (("face", 0.5), ("body", 0.1)):
-                            if r.get(kind) is not None and b.mean(kind) is not None:
-                                bonus = weight * float(_unit(r[kind]) @ b.mean(kind))
-                                break
-                        cost[i, j] = 1 - near - bonus
+            for near, i, j in _overlaps([boxes[r["obj_id"]] for r in rows], [b.box for b in self.handed], self.p.inherit_iou):
+                r, b, bonus = rows[i], self.handed[j], 0.0
+                for kind, weight in (("face", 0.5), ("body", 0.1)):
+                    if r.get(kind) is not None and b.mean(kind) is not None:
+                        bonus = weight * float(_unit(r[kind]) @ b.mean(kind))
+                        break
+                cost[i, j] = 1 - near - bonus
             for i, j in solve(cost):
                 if cost[i, j] < INFEASIBLE:
                     self.live[rows[i]["obj_id"]] = self.handed[j]

@@ -113,3 +113,20 @@ def test_hand_over_is_the_cheapest(seed):
     for o, g in want.items():
         assert out[o] in (g, -1)
     assert abs(sum(cost[o - 10, g] for o, g in out.items() if g >= 0 and cost[o - 10, g] < 1e6) - total(best) % 1e6) < 1e-6 or -1 in out.values()
+
+
+def test_overlaps_of_many_boxes():
+    """All pairs by matrices, some rows at a time, against one pair after another; in well under its time."""
+    import time
+
+    from larkspur.operators.resolver import _overlaps
+
+    rng = np.random.default_rng(4)
+    a, b = ([(x, y, x + w, y + h) for x, y, w, h in rng.integers(0, 60, (300, 4)).tolist()] for _ in range(2))
+    t = [time.process_time()]
+    got = list(_overlaps(a, b, 0.3, held=1000))
+    t.append(time.process_time())
+    want = [(s, i, j) for i, p in enumerate(a) for j, q in enumerate(b) if (s := _iou(p, q)) >= 0.3]
+    t.append(time.process_time())
+    assert got == want and list(_overlaps([], b, 0.3)) == list(_overlaps(a, [], 0.3)) == []
+    assert (t[1] - t[0]) * 2 < t[2] - t[1]
