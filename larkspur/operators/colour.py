@@ -7,34 +7,56 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from ..functions.runs import by_steps
+from ..functions.runs import by_steps, flat
 
 CHANNELS = ("l", "a", "b")
 MOMENTS = "struct<n:bigint,l:bigint,a:bigint,b:bigint,ll:bigint,aa:bigint,bb:bigint>"
 
 
+_TABLE: list[np.ndarray] = []  # of a worker, made when it meets its first colour
+
+
 def _pixels(rgb: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(masks.lab(rgb)), 0, 255)
+    """L*a*b* bytes of (n, 3) bytes of RGB. A worker turns a colour once and looks it up from then on, in 64 MB at most."""
+    if not _TABLE:
+        _TABLE.append(np.zeros(1 << 24, "<u4"))
+    table = _TABLE[0]
+    code = np.ndarray((len(rgb),), "<u4", np.append(rgb, np.uint8(0)), 0, (3,)) & 0xFFFFFF  # each pixel's three bytes and one more
+    got = table[code]
+    if not got.all():
+        new = np.unique(code[got == 0])
+        lab = np.clip(np.rint(masks.lab(np.stack([new & 255, new >> 8 & 255, new >> 16], axis=1))), 0, 255).astype(np.uint32)
+        table[new] = lab[:, 0] | lab[:, 1] << 8 | lab[:, 2] << 16 | 1 << 24  # a zero was not met yet
+        got = table[code]
+    out = np.empty((len(rgb), 3), np.uint8)
+    for i in range(3):
+        out[:, i] = got.view(np.uint8)[i::4]
+    return out
+
+
+def _painted(rgb: pa.Array, mask: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(some, pixels, n, at) of pictures: which have pixels and a mask, and of those all pixels, how many each has, and the places of the painted ones."""
+    some = pc.and_(rgb.is_valid(), mask.is_valid())
+    (data, sizes), (on, n) = (flat(c.filter(some)) for c in (rgb, mask))
+    if (sizes != 3 * n).any():
+        raise ValueError("a picture has three bytes for each byte of its mask")
+    return some.to_numpy(zero_copy_only=False), data.reshape(-1, 3), n, np.flatnonzero(on)
 
 
 def _moments(rgb: pa.Array, mask: pa.Array, width: pa.Array) -> pa.Array:
     """Painted pixels alone are turned to colours, those of all pictures given at once."""
-    some, counts = np.zeros(len(rgb), bool), np.zeros(len(rgb), np.int64)
-    painted = [np.empty((0, 3), np.uint8)]
-    for i, (p, m) in enumerate(zip(rgb, mask, strict=True)):
-        if p.is_valid and m.is_valid:
-            some[i], on = True, np.frombuffer(m.as_buffer(), np.uint8) > 0
-            painted.append(np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, 3)[on])
-            counts[i] = len(painted[-1])
-    x = _pixels(np.concatenate(painted)).astype(np.int64)
+    some, data, n, at = _painted(rgb, mask)
+    x = _pixels(data[at]).astype(np.int64)
     sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(np.concatenate([x, x * x], axis=1), axis=0)])
-    ends = np.cumsum(counts)
-    of = sums[ends] - sums[ends - counts]
-    return pa.StructArray.from_arrays([pa.array(counts), *(pa.array(np.ascontiguousarray(c)) for c in of.T)], names=["n", *CHANNELS, "ll", "aa", "bb"], mask=pa.array(~some))
+    ends = np.searchsorted(at, np.concatenate([[0], np.cumsum(n)]))
+    of = np.zeros((len(some), 7), np.int64)
+    of[some] = np.concatenate([np.diff(ends)[:, None], sums[ends[1:]] - sums[ends[:-1]]], axis=1)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in of.T], names=["n", *CHANNELS, "ll", "aa", "bb"], mask=pa.array(~some))
 
 
 def moments(rgb: Column, mask: Column, width: Column) -> Column:
@@ -72,19 +94,31 @@ def middle(height: Column, width: Column) -> Column:
     return F.arrow_udf(by_steps(_box), "binary")(height, width)
 
 
+def _six(stats: pa.Array) -> np.ndarray:
+    """(n, 6) of arrays of six; not a number where an array or one of its values is null."""
+    out = np.full((len(stats), 6), np.nan)
+    out[stats.is_valid().to_numpy(zero_copy_only=False)] = stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
+    return out
+
+
 def _matched(rgb: pa.Array, mask: pa.Array, width: pa.Array, own: pa.Array, to: pa.Array, chroma_only: bool) -> pa.Array:
-    out = []
-    for p, m, w, s, t in zip(rgb, mask, width.to_pylist(), own.to_pylist(), to.to_pylist(), strict=True):
-        x = _pixels(np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, w, 3))
-        on = np.frombuffer(m.as_buffer(), np.uint8).reshape(-1, w) > 0
-        if s is not None and t is not None:
-            x[on] = masks.match_colour(x[on], *(np.array(v, float) for v in (s[:3], s[3:], t[:3], t[3:])), chroma_only)
-        out.append(np.clip(np.round(x, 6), 0, 255).astype(np.uint8).tobytes())
-    return pa.array(out, pa.binary())
+    """A painted pixel goes where its picture's means and spreads move its byte of each channel: 256 values are moved once for all pictures that share them."""
+    some, data, n, at = _painted(rgb, mask)
+    kinds, kind = np.unique(np.concatenate([_six(own), _six(to)], axis=1)[some].view("V96").ravel(), return_inverse=True)
+    moved = np.empty((len(kinds), 256, 3), np.uint8)
+    for i, v in enumerate(np.frombuffer(kinds.tobytes()).reshape(-1, 4, 3)):
+        x = np.repeat(np.arange(256.0)[:, None], 3, axis=1)
+        moved[i] = x if np.isnan(v).any() else np.clip(np.round(masks.match_colour(x, *v, chroma_only), 6), 0, 255)
+    out = _pixels(data)
+    out[at] = moved[np.repeat(kind, n)[at][:, None], out[at], np.arange(3)]
+    sizes = np.zeros(len(some), np.int64)
+    sizes[some] = 3 * n
+    gone = pa.py_buffer(np.packbits(some, bitorder="little")) if not some.all() else None
+    return pa.Array.from_buffers(pa.binary(), len(some), [gone, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(out)])
 
 
 def matched(rgb: Column, mask: Column, width: Column, own: Column, to: Column, chroma_only: bool = False) -> Column:
-    """L*a*b* bytes of a picture whose painted pixels are moved from their own means and spreads (array of six) to others; null moves nothing.
+    """L*a*b* bytes of a picture whose painted pixels are moved from their own means and spreads (array of six) to others; null moves nothing, a null picture or mask gives null.
 
     Parts of whole numbers are cut off, but a millionth under one is one.
     """

@@ -85,3 +85,40 @@ def test_pictures_are_drawn_by_steps(monkeypatch):
     n = 1200
     out = f(pa.array([bytes(3)] * n, pa.binary()), pa.array([b"\1"] * n, pa.binary()), pa.array([1] * n))
     assert len(out) == n and max(seen) == 512
+
+
+def test_a_colour_is_turned_once(monkeypatch):
+    """Pictures of any sizes in one step, rows without picture, mask or moments: as each by itself, and no work for colours met before."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    pics = [rng.integers(0, 3, (2 + i % 3, 4, 3)).astype(np.uint8) * 90 for i in range(40)]
+    on = [rng.random(p.shape[:2]) < (0.0 if i == 7 else 0.5) for i, p in enumerate(pics)]
+    own = [[100.0 + i % 2, 120, 130, 9, 8, 7] if i % 5 else None for i in range(40)]
+    own[6] = [None] * 6
+    to = [120.0, 130, 125, 20, 5, 7]
+    rows = (pa.array([p.tobytes() for p in pics] + [None, bytes(3)], pa.binary()), pa.array([m.astype(np.uint8).tobytes() for m in on] + [b"x", None], pa.binary()))
+    rest = (pa.array([4] * 42), pa.array([*own, to, to], pa.list_(pa.float64())), pa.array([to] * 42, pa.list_(pa.float64())))
+    worked = []
+    lab = masks.lab
+    monkeypatch.setattr(masks, "lab", lambda rgb: worked.append(len(rgb)) or lab(rgb))
+    for only in (False, True):
+        got = colour._matched(*rows, *rest, only)
+        got.validate(full=True)
+        assert got[40].as_py() is None and got[41].as_py() is None
+        for i, (p, m, s) in enumerate(zip(pics, on, own, strict=True)):
+            x = np.clip(np.rint(lab(p)), 0, 255)
+            if s is not None and i != 6:
+                x[m] = masks.match_colour(x[m], *np.array(s).reshape(2, 3), *np.array(to).reshape(2, 3), only)
+            assert got[i].as_py() == np.clip(np.round(x, 6), 0, 255).astype(np.uint8).tobytes()
+    assert sum(worked) <= 27
+    assert [r is None for r in colour._moments(*rows, rest[0]).to_pylist()] == [False] * 40 + [True] * 2
+    assert sum(worked) <= 27
+
+
+def test_sums_of_bytes():
+    import pyarrow as pa
+    from larkspur.plans.silhouettes import _bytes_sum
+
+    data = pa.array([b"", b"\1\2", b"", b"\xff" * 5, b""], pa.binary())
+    assert _bytes_sum(data).to_pylist() == [0, 3, 0, 1275, 0] and _bytes_sum(data.slice(3, 1)).to_pylist() == [1275] and _bytes_sum(data.slice(0, 0)).to_pylist() == []
