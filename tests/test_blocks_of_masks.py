@@ -88,3 +88,55 @@ def test_no_pairs_are_shuffled(spark):
     for name in ("q_j7_mask_iou", "q_j8_intrusion", "q_i8_composite", "q_p27_gated_joints"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 1 and "segments" not in plan  # the row with the number of vectors
+
+
+@pytest.mark.parametrize("height,width", [(9, 7), (64, 5), (130, 6)])
+def test_masks_that_reach_a_box_by_a_table_of_pixels(height, width):
+    """What boxes are looked up in gives what their pairs give, and what images do; boxes may be empty."""
+    rng = np.random.default_rng(4)
+    images = [rng.random((height, width)) < p for p in (0, 0.02, 0.05, 0.5, 1) for _ in range(4)]
+    images = [m & (np.arange(width) // 2 == i % 4) for i, m in enumerate(images)]
+    lists = pa.array([masks.encode(m) for m in images] + [None, []], pa.list_(pa.int32()))
+    on = runs.bits(lists, height, width)
+    unpacked = np.unpackbits(on.view(np.uint8), axis=2, bitorder="little")[:, :, :height].transpose(0, 2, 1)
+    assert (unpacked[:-2] == np.stack(images)).all() and not unpacked[-2:].any()
+    x1, y1 = rng.integers(0, width, 60), rng.integers(0, height, 60)
+    edges = np.stack([x1, y1, np.minimum(x1 + rng.integers(0, width, 60), width), np.minimum(y1 + rng.integers(0, height, 60), height)])
+    x = np.arange(width)
+    box = ((x >= edges[0][:, None]) & (x < edges[2][:, None]))[:, :, None] * runs.between(edges[1], edges[3], height)[:, None, :]
+    by_table = S._over(S._together(lists, (height, width)), edges)
+    assert (by_table == S._reached(box.reshape(60, -1), edges, lists, (height, width))).all() and by_table.any()
+    for b, (a, c, d, e) in enumerate(edges.T):
+        want = np.zeros((height, width), bool)
+        for m in images:
+            if m[c:e, a:d].any():
+                want |= m
+        got = np.unpackbits(by_table[b].reshape(width, -1).view(np.uint8), axis=1, bitorder="little")[:, :height].T
+        assert (got == want).all()
+
+
+def test_a_crowded_frame_is_not_met_in_pairs(monkeypatch, spark):
+    """1,000 boxes and masks of a frame: no pairs are made, and the rows are those of the pairs."""
+    n = 1000
+    t = spark.range(n).select(F.lit(0).alias("f"), F.col("id").alias("obj"), *[F.col("id").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.array(F.lit(1)).alias("runs"))
+    rng = np.random.default_rng(9)
+    x1, y1 = rng.integers(-1, 20, n), rng.integers(-1, 10, n)
+    x2, y2 = x1 + rng.integers(0, 6, n), y1 + rng.integers(0, 5, n)
+    images = np.zeros((n, 10, 20), bool)
+    for i in range(n):
+        images[i, max(0, y1[i]) : max(0, y2[i]), max(0, x1[i]) : max(0, x2[i])] = True
+    images &= rng.random(images.shape) < 0.7
+    columns = [pa.array(np.arange(n)), pa.array([masks.encode(m) for m in images], pa.list_(pa.int32())), pa.array(np.arange(n) < 900), *(pa.array(c.astype(np.int32)) for c in (x1, y1, x2, y2))]
+    kernels = []
+    arrow_udf = F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: kernels.append(f) or arrow_udf(f, kind))
+    S.intruded(t, ["f"], "obj", 20, 10)
+    away = kernels[0]
+    monkeypatch.setattr(S, "_reached", None)
+    got = np.frombuffer(away(*columns), S._LOST)
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "MANY", n * n)
+    assert (np.frombuffer(away(*columns), S._LOST) == got).all() and list(got["key"]) == list(range(900))
+    i = 5
+    want = masks.intrusion(images[i], tuple(np.maximum((x1[i], y1[i], x2[i], y2[i]), 0)), [m for j, m in enumerate(images) if j != i])
+    assert got["removed"][i] == want.sum()
