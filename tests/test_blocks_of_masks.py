@@ -140,3 +140,39 @@ def test_a_crowded_frame_is_not_met_in_pairs(monkeypatch, spark):
     i = 5
     want = masks.intrusion(images[i], tuple(np.maximum((x1[i], y1[i], x2[i], y2[i]), 0)), [m for j, m in enumerate(images) if j != i])
     assert got["removed"][i] == want.sum()
+
+
+@pytest.mark.parametrize("block", [150, 2048])
+def test_pairs_of_a_crowded_frame(spark, block):
+    """400 masks of a frame meet by image columns, some at a time, and give what images give; keys are in no order."""
+    n, h, w = 400, 8, 12
+    rng = np.random.default_rng(3)
+    images = rng.random((n, h, w)) < 0.4
+    images &= (np.arange(w) // 4 == rng.integers(0, 3, n)[:, None])[:, None, :]
+    images[7] = False
+    keys = rng.permutation(n) * 10
+    t = spark.createDataFrame([("x", int(k), masks.encode(m)) for k, m in zip(keys, images, strict=True)], "frame string, obj long, runs array<int>").repartition(2)
+    got = {(r.a, r.b): (r.iou, r.small) for r in S.frame_pairs(t, ["frame"], "obj", (h, w), 0.5, block).collect()}
+    small = images[:, np.arange(4) * 2][:, :, np.arange(6) * 2].reshape(n, -1).astype(int)
+    flat = images.reshape(n, -1).astype(int)
+    want = []
+    for m in (flat, small):
+        both = m @ m.T
+        union = m.sum(axis=1)[:, None] + m.sum(axis=1) - both
+        want.append(np.where(union > 0, both / np.maximum(union, 1), 0.0))
+    at = {int(k): i for i, k in enumerate(keys)}
+    assert len(got) == n * (n - 1) // 2
+    assert all(a < b and v == (want[0][at[a], at[b]], want[1][at[a], at[b]]) for (a, b), v in got.items())
+
+
+def test_pairs_are_rounded_half_up(spark):
+    """As Spark's own round does, ties at the last digit too: 1 of 128 and 1 of 640."""
+    h, w = 20, 32
+    images = np.zeros((5, h * w), bool)
+    images[0, :1], images[1, :128], images[2, :640], images[3, :3], images[4, 2:9] = True, True, True, True, True
+    t = spark.createDataFrame([(1, i, masks.encode(m.reshape(h, w))) for i, m in enumerate(images)], "frame int, obj long, runs array<int>")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    exact = S.frame_pairs(t, ["frame"], "obj", (h, w), 0.25)
+    got = rows(S.frame_pairs(t, ["frame"], "obj", (h, w), 0.25, digits=6))
+    assert got == rows(exact.select("frame", "a", "b", F.round("iou", 6), F.round("small", 6)))
+    assert {r[3] for r in got} >= {0.007813, 0.001563}
